@@ -6,16 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import simhash
+from tidemark.llm import pieces, simhash
 from tidemark.llm.shared import table
 
 
+def piece_model() -> bytes:
+    import public_tokenizers
+
+    return pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"), piece_model())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op5_sentencepiece": op5_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {}
