@@ -9,10 +9,10 @@ is left it goes one token back, marking the position in a bitfield of
 positions from which no encoding can be finished.  Each position fails once
 at most, so a text without any white space is still linear.
 
-No piece of a model may hold a word mark after another character; it is
-checked on loading, and if it holds, texts are cut before each run of word
-marks that follows other characters, because no merge crosses there.  Encoded
-words are kept in a table of bounded size.
+Where a model has no piece with a word mark after another character, or with
+a stop next to a letter (both are checked on loading), no merge crosses these
+places, and texts are cut there.  Encoded words are kept in tables of bounded
+size.
 
 The model file is read once by the driver and sent with the task (its size is
 that of a vocabulary file, not of the data).  Defined results: null text is
@@ -27,6 +27,7 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import ahocorasick
 import pyarrow as pa
@@ -35,8 +36,10 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-KEPT_WORDS = 200_000
-KEPT_LENGTH = 48
+#: Bounds of a worker's tables: words of the last two generations, up to so many characters, and token pairs.
+KEPT_WORDS, KEPT_LENGTH, KEPT_PAIRS = 200_000, 48, 300_000
+#: Characters between which and letters no piece of a model may run, if texts are to be cut there too; checked on loading.
+LETTER, STOP = "A-Za-zÀ-ÖØ-öø-ÿ", ",.\n"
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -98,51 +101,69 @@ class Codec:
             if len(p) > 1 and self.merged(p) == [p]:  # other pieces can never come out of merging
                 self.matches.add_word(p)
         self.matches.make_automaton()
-        whole = any(MARK in p.lstrip(MARK) for p in self.ids)
-        self.cut = re.compile(r".+" if whole else f"{MARK}*[^{MARK}]+|{MARK}+", re.DOTALL).findall
-        self.compatible = lru_cache(1 << 18)(lambda a, b: self.merged(a + b) == [a, b])
+        parts = f"{MARK}*[^{MARK}]+|{MARK}+"
+        if not any(re.search(rf"[{LETTER}][{STOP}]|[{STOP}][{LETTER}]", p) for p in self.ids):
+            parts = rf"{MARK}*[{LETTER}]+(?=[{STOP}{MARK}]|\Z)|[{STOP}]+(?=[{LETTER}{MARK}]|\Z)|{parts}"
+        if any(MARK in p.lstrip(MARK) for p in self.ids):
+            parts = ".+"
+        self.cut = re.compile(parts, re.DOTALL).findall
+        self.pairs: dict[tuple[str, str], bool] = {}
         self.words: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
 
     def merged(self, text: str) -> list[str]:
-        """The characters of a short text after merging, best rank first."""
-        parts = list(text)
+        """The characters of a short text after merging, best rank first, leftmost on ties."""
+        parts, never = list(text), float("inf")
         rank = self.rank.get
-        while len(parts) > 1:
-            best, at = min((rank(a + b, float("inf")), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if best == float("inf"):
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        ranks = [rank(a + b, never) for a, b in pairwise(parts)]
+        while ranks and (best := min(ranks)) < never:
+            at = ranks.index(best)
+            parts[at] += parts.pop(at + 1)
+            ranks.pop(at)
+            if at:
+                ranks[at - 1] = rank(parts[at - 1] + parts[at], never)
+            if at < len(ranks):
+                ranks[at] = rank(parts[at] + parts[at + 1], never)
         return parts
 
+    def compatible(self, a: str, b: str) -> bool:
+        """Whether two adjacent tokens come out again when their characters are merged anew."""
+        found = self.pairs.get((a, b))
+        if found is None:
+            if len(self.pairs) >= KEPT_PAIRS:
+                self.pairs.clear()
+            found = self.pairs[a, b] = self.merged(a + b) == [a, b]
+        return found
+
     def split(self, text: str) -> list[str]:
         """The tokens of a text in which word marks stand for spaces."""
-        lengths: list[list[int]] = [[1] for _ in text]
+        lengths: dict[int, list[int]] = {}  # at each start, the lengths of its tokens, rising
         for end, n in self.matches.iter(text):
-            lengths[end - n + 1].append(n)
+            lengths.setdefault(end - n + 1, [1]).append(n)
         failed = bytearray(len(text) // 8 + 1)
         out: list[str] = []
         tried: list[int] = []  # for each token, how many of the lengths at its start are still left
-        at, left = 0, len(lengths[0]) if text else 0
-        while at < len(text):
-            found = False
+        single, size, last, at = [1], len(text), "", 0
+        here = lengths.get(0, single)
+        left = len(here)
+        while at < size:
             while left:
                 left -= 1
-                n = lengths[at][left]
-                end = at + n
-                if not failed[end >> 3] >> (end & 7) & 1 and (not out or self.compatible(out[-1], text[at:end])):
-                    found = True
+                end = at + here[left]
+                token = text[at:end]
+                if not failed[end >> 3] >> (end & 7) & 1 and (not last or self.compatible(last, token)):
+                    out.append(token)
+                    tried.append(left)
+                    last, at = token, end
+                    here = lengths.get(at, single)
+                    left = len(here)
                     break
-            if found:
-                out.append(text[at:end])
-                tried.append(left)
-                at = end
-                left = len(lengths[at]) if at < len(text) else 0
             else:
                 if not out:
                     raise AssertionError("every text has an encoding")
                 failed[at >> 3] |= 1 << (at & 7)
                 at -= len(out.pop())
-                left = tried.pop()
+                here, left, last = lengths.get(at, single), tried.pop(), out[-1] if out else ""
         return out
 
     def token_ids(self, token: str) -> list[int]:
@@ -156,11 +177,13 @@ class Codec:
 
     def word(self, word: str) -> tuple[int, str, str]:
         """(tokens, ids joined by commas, decoded text) of a part that no merge crosses."""
-        ids = [i for t in self.split(word) for i in self.token_ids(t)]
-        found = len(ids), ",".join(map(str, ids)), self.joined(ids)
+        found = self.older.get(word)
+        if found is None:
+            ids = [i for t in self.split(word) for i in self.token_ids(t)]
+            found = len(ids), ",".join(map(str, ids)), self.joined(ids)
         if len(word) <= KEPT_LENGTH:
             if len(self.words) >= KEPT_WORDS:
-                self.words.clear()
+                self.older, self.words = self.words, {}
             self.words[word] = found
         return found
 
@@ -192,8 +215,8 @@ class Codec:
 
     def round_trip(self, text: str | None) -> tuple[int, str, str]:
         """(tokens, ids joined by commas, decoded text) of a whole text."""
-        kept, make = self.words.get, self.word
-        parts = [kept(w) or make(w) for w in self.cut(self.normalized(text or ""))]
+        make = self.word
+        parts = [self.words.get(w) or make(w) for w in self.cut(self.normalized(text or ""))]
         decoded = "".join([p[2] for p in parts])
         return sum([p[0] for p in parts]), ",".join([p[1] for p in parts]), decoded[1:] if self.prefix or self.trim else decoded
 
