@@ -124,7 +124,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     runs = repeated_runs(docs, id_col, text_col, min_words).groupBy("id", "th").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
     runs = staged(runs.withColumnsRenamed({"id": "_id", "th": "_th"}))
     own = (F.coalesce(docs[id_col].cast("long"), F.lit(LAST)) == runs["_id"]) & (F.xxhash64(docs[text_col]) == runs["_th"])
-    joined = docs.join(runs, own, "left").select(*[docs[c] for c in docs.columns], "_spans")
+    joined = docs.join(runs.hint("merge"), own, "left").select(*[docs[c] for c in docs.columns], "_spans")
 
     def cut(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
