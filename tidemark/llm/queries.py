@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontam, html, lines, pieces, quality, simhash, toxicity
+from tidemark.llm import chat, decontam, html, lines, pieces, quality, simhash, toxicity, urls
 from tidemark.llm.shared import table
 
 
@@ -24,6 +24,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(table(spark, sf_dir, "pages"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), piece_model())
 
@@ -46,14 +50,21 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "coverage")
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.pieces(turns.unionAll(spark.createDataFrame(chat.PROBE, turns.schema))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_html_extraction": op3_html_extraction,
+    "op4_url_filter": op4_url_filter,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_line_dedup": op6_line_dedup,
+    "op7_chat_format": op7_chat_format,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_decontamination": decontam.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_chat_format": chat.ORACLE_SQL, "op8_decontamination": decontam.ORACLE_SQL}
