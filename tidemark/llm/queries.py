@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontam, html, lines, pieces, quality, simhash, toxicity, urls
+from tidemark.llm import chat, decontam, html, lines, pieces, pii, quality, simhash, toxicity, urls
 from tidemark.llm.shared import table
 
 
@@ -20,6 +20,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = spark.conf.get("spark.tidemark.piiKey", "a key for tests")  # a secret of the deployment
+    return pii.replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(table(spark, sf_dir, "pages"))
 
@@ -57,6 +62,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op3_html_extraction": op3_html_extraction,
     "op4_url_filter": op4_url_filter,
     "op5_sentencepiece": op5_sentencepiece,
