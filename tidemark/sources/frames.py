@@ -223,12 +223,15 @@ def nth_key(keys: DataFrame, key: str, n: int) -> int | None:
     while low < high:
         width = -(-(high - low + 1) // BINS)
         part = keys.where((F.col(key) >= low) & (F.col(key) <= high))
-        counts = part.groupBy(F.floor((F.col(key).cast("decimal(38,0)") - low) / width).cast("long").alias("bin")).count().orderBy("bin").collect()  # at most BINS rows
+        place = F.expr(f"(cast(`{key}` AS decimal(38, 0)) - cast({low} AS decimal(38, 0))) div cast({width} AS decimal(38, 0))")
+        counts = part.groupBy(place.alias("bin")).count().orderBy("bin").collect()  # at most BINS rows
         for row in counts:
             if n <= row["count"]:
                 low, high = low + row["bin"] * width, min(high, low + (row["bin"] + 1) * width - 1)
                 break
             n -= row["count"]
+        else:
+            raise RuntimeError(f"keys of {key!r} changed while they were counted")
     return low
 
 
