@@ -257,7 +257,9 @@ def test_leading_key_must_be_an_integer(spark):
 def test_old_state_reads_the_same_batch(spark):
     src = Stub(spark, events=[(20, 2, 4)])
     own = state()
-    first, second = run(src, own), run(src, own)
+    first = run(src, own)
+    src.ticks = 0  # the clock dates dump rows
+    second = run(src, own)
     assert first.frame.collect() == second.frame.collect() and first.state == second.state
 
 
