@@ -26,7 +26,9 @@ that repeat id and text count once in ``contaminated`` and go together in
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +36,9 @@ from tidemark.llm.shared import staged
 
 SIZE, LEAST, COVERAGE, BROADCAST_ROWS = 8, 5, 0.5, 1_000_000
 TOKEN = r"[0-9]+(?:[.,:][0-9]+)*|[\p{L}\p{M}\p{N}]+"
-NUMBER, UNIT, NAME = "#", "@", "&"
 
-# Fixed values.
+# Fixed values. Placeholders are private-use characters.
+NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million billion dozen".split()
 UNITS = (
     "mm cm m km in ft yd mi mile miles meter meters metre metres foot feet inch inches yard yards mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce "
@@ -45,19 +47,38 @@ UNITS = (
 ).split()
 
 
+def token_hash(token: str) -> int:
+    """What xxhash64() gives for a token."""
+    found = xxhash.xxh64_intdigest(token.encode(), 42)
+    return found - (1 << 64) if found >> 63 else found
+
+
+SLOTS = {kind: token_hash(kind) for kind in (NUMBER, UNIT, NAME)}
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
-def placeholder(token: Column) -> Column:
-    """The canonical form of a token."""
-    low, head = F.lower(token), F.substring(token, 1, 1)
-    number = head.between("0", "9") | low.isin(NUMBER_WORDS)
-    return F.when(number, NUMBER).when(low.isin(UNITS), UNIT).when(head != F.lower(head), NAME).otherwise(low)
+def canonical(text: Column) -> Column:
+    """The hashes of a text's canonical tokens, one for each of tokens(text).
+
+    Numbers and capitalised words are replaced in the whole text, then words
+    are cut, hashed, and told apart from units and number words by hash.
+    """
+    start = r"(?<![\p{L}\p{M}\p{N}])"
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), start + r"[0-9]++(?:[.,:][0-9]+)*+", f" {NUMBER} ")
+    marked = F.lower(F.regexp_replace(marked, start + r"[\p{Lu}\p{Lt}][\p{L}\p{M}\p{N}]*+", NAME))
+    words = F.filter(F.split(marked, rf"[^\p{{L}}\p{{M}}\p{{N}}{NUMBER}{NAME}]+"), lambda w: w != "")
+
+    def typed(h: Column) -> Column:
+        return F.when(h.isin(*map(token_hash, NUMBER_WORDS)), F.lit(SLOTS[NUMBER])).when(h.isin(*map(token_hash, UNITS)), F.lit(SLOTS[UNIT])).otherwise(h)
 
+    return F.transform(F.transform(words, lambda w: F.xxhash64(w)), typed)
 
-def is_slot(canonical: Column) -> Column:
-    return canonical.isin(NUMBER, UNIT, NAME)
+
+def is_slot(canonical_hash: Column) -> Column:
+    return canonical_hash.isin(*SLOTS.values())
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -65,32 +86,35 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def window_hashes(canonical: Column, size: int) -> Column:
+def window_hashes(hashes: Column, size: int) -> Column:
     """A hash of each window of size tokens, in order."""
 
-    def hashes(tokens: Column) -> Column:
-        starts = F.when(F.size(tokens) >= size, F.sequence(F.lit(1), F.size(tokens) - size + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.xxhash64(F.lit(size), F.slice(tokens, i, size)))
+    def windows(own: Column) -> Column:
+        starts = F.when(F.size(own) >= size, F.sequence(F.lit(1), F.size(own) - size + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(own, i, size)))
 
-    return once(canonical, hashes)
+    return once(hashes, windows)
 
 
 def items(benchmark: DataFrame) -> DataFrame:
     """(item_id, raw, canonical, size): what is matched of each item."""
-    found = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("raw")).dropDuplicates()
-    found = found.where(F.size("raw") >= LEAST).withColumn("canonical", F.transform("raw", placeholder))
-    return found.select("item_id", F.transform("raw", F.lower).alias("raw"), "canonical", F.least(F.size("raw"), F.lit(SIZE)).alias("size"))
+    found = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("raw"), canonical(F.col("text")).alias("canonical"))
+    found = found.where(F.size("raw") >= LEAST)
+    return found.select("item_id", F.transform("raw", F.lower).alias("raw"), "canonical", F.least(F.size("raw"), F.lit(SIZE)).alias("size")).dropDuplicates()
+
+
+def union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionAll, frames)
 
 
 def item_windows(found: DataFrame) -> DataFrame:
-    """(hash, item_id, variant, j, n): the usable windows of items; an item id with several texts has several variants."""
-    sized = [
-        found.where(F.col("size") == s).select("item_id", F.xxhash64("raw").alias("variant"), "canonical", "size", F.posexplode(window_hashes(F.col("canonical"), s)).alias("j", "hash"))
-        for s in range(LEAST, SIZE + 1)
-    ]
-    every = sized[0]
-    for more in sized[1:]:
-        every = every.unionAll(more)
+    """(hash, item_id, variant, j, size, n): the usable windows of items; an item id with several texts has several variants."""
+    every = union(
+        [
+            found.where(F.col("size") == s).select("item_id", F.xxhash64("raw").alias("variant"), "canonical", "size", F.posexplode(window_hashes(F.col("canonical"), s)).alias("j", "hash"))
+            for s in range(LEAST, SIZE + 1)
+        ]
+    )
     literal = F.size(F.filter(F.slice("canonical", F.col("j") + 1, F.col("size")), lambda t: ~is_slot(t)))
     usable = every.where(2 * literal >= F.col("size")).select("hash", "item_id", "variant", "j", "size")
     count = usable.groupBy("item_id", "variant").agg(F.count("*").alias("n"))
@@ -107,12 +131,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     windows = staged(item_windows(known))
     sizes = {r["size"]: r["count"] for r in windows.groupBy("size").count().collect()}
     side = F.broadcast(windows) if sum(sizes.values()) <= BROADCAST_ROWS else windows
-    # Each text is made canonical once; only hashes are exploded.
-    canonical = keyed(docs, id_col, text_col).select("id", "th", F.transform(tokens(F.col("text")), placeholder).alias("canonical"))
-    placed = [lambda c, s=s: F.transform(window_hashes(c, s), lambda h, i: F.struct(h.alias("hash"), i.alias("i"))) for s in sorted(sizes) or [SIZE]]
-    hashes = once(F.col("canonical"), lambda c: F.flatten(F.array(*[p(c) for p in placed])))
-    exploded = canonical.select("id", "th", hashes.alias("w")).select("id", "th", F.explode("w").alias("w")).select("id", "th", F.col("w.hash").alias("hash"), F.col("w.i").alias("i"))
-    matched = exploded.join(side, "hash").groupBy("id", "th", "item_id", "variant", (F.col("i") - F.col("j")).alias("offset"))
+    # Only hashes leave a row; a pass over the texts for each window size, of which there is one unless items are short.
+    own = keyed(docs, id_col, text_col)
+    matches = [
+        own.select("id", "th", F.posexplode(window_hashes(canonical(F.col("text")), s)).alias("i", "hash")).join(side.where(F.col("size") == s), "hash") for s in sorted(sizes) or [SIZE]
+    ]
+    matched = union(matches).groupBy("id", "th", "item_id", "variant", (F.col("i") - F.col("j")).alias("offset"))
     aligned = matched.agg(F.collect_set("j").alias("js"), F.max("n").alias("n"), F.max("size").alias("size"))
     likely = aligned.groupBy("id", "th", "item_id", "variant", "n", "size").agg(F.collect_list(F.struct("offset", "js")).alias("at"))
     likely = staged(likely.where(F.size(F.array_distinct(F.flatten(F.col("at.js")))) >= COVERAGE * F.col("n")))
