@@ -53,6 +53,18 @@ def test_extension_beyond_the_windows(spark):
     assert found == {1: run, 2: "new", 3: "new3"}
 
 
+def test_passage_inside_paragraphs(spark):
+    passage = " ".join(f"p{i}" for i in range(30)) + ". " + " ".join(f"q{i}" for i in range(25)) + "."
+    docs = [(1, f"One here. {passage} Two there.\nEnd"), (2, f"Other one. {passage}\nEnd two"), (3, f"Third! {passage}"), (4, f"{passage} Fourth.")]
+    found = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == {1: docs[0][1], 2: "Other one.\nEnd two", 3: "Third!", 4: "Fourth."}
+
+
+@pytest.mark.parametrize("text", ["", "a", "a. b.c! d?\n\n e\n", "\n\n", "x.  y", "no end", "...", ". . ."])
+def test_lines_make_up_the_text(text):
+    assert "".join(lines._LINE.findall(text)) == text and lines.without(text, []) == text
+
+
 def test_blank_lines_go_with_their_run():
     assert lines.without("a\n\nb\n\nc", [(0, 1)]) == "\nc" and lines.without("a\n\nb", [(0, 0)]) == "\nb"
 

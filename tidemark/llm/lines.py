@@ -1,29 +1,35 @@
 """Line dedup: runs of lines that occurred before are deleted, found by winnowing over line hashes.
 
-Lines without a word are passed over.  A window is the shortest run of lines
-from a given line on that has at least ``min_words`` words, and, so that runs
-grow to both sides, also the shortest such run up to a given line.  Each
-window selects its least line hash as fingerprint (the guarantee of
-winnowing: equal windows select equal fingerprints).  Positions are joined on
-the fingerprint together with the hash of the window that selected it, 128
-bits in all, to the first position in order of (doc_id, text hash, line).  A
+A line ends at a line break or after a sentence end that white space follows,
+so a passage inside a paragraph is a run of lines as well.  Lines without a
+word are passed over.  A window is the shortest run of lines from a given line
+on that has at least ``min_words`` words, and, so that runs grow to both
+sides, also the shortest such run up to a given line.  Each window selects the
+line that is least by (fewer words last, hash) as fingerprint; equal windows
+select equal fingerprints, which is the guarantee of winnowing, and long lines
+are rarely equal by chance.  Fingerprints that occur once are dropped; the
+positions of the others are joined with the windows that selected them, to the
+first position in order of (doc_id, text hash, line) of an equal window.  A
 repeated run of at least ``min_words`` words is the union of its windows: from
 a matching window it extends left by windows that start earlier and right by
 windows that end later.  So exactly those lines go that lie in a run of
 ``min_words`` words or more that occurred, without overlapping it, before.
 
-Scale: fingerprints are pre-aggregated to (first position, count), no pairs
-of positions are ever made; a hot fingerprint only skews a sort-merge join of
-positions, which adaptive execution splits.  Texts are shuffled once.
+Scale: fingerprints and windows are pre-aggregated (to counts, and to first
+positions), no pairs of positions are ever made; a hot fingerprint only skews
+sort-merge joins, which adaptive execution splits.  Texts are shuffled once.
 
 Defined results: null text stays null; blank lines inside a deleted run go
-with it; a text whose lines all go becomes empty, and its row stays; rows with
-a null doc_id come last in the order; rows repeating id and text are one
-document, cut alike; extra columns are kept.
+with it, and white space before a deleted end of text; a text whose lines all
+go becomes empty, and its row stays; rows with a null doc_id come last in the
+order; rows repeating id and text are one document, cut alike; extra columns
+are kept.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,18 +42,22 @@ from tidemark.llm.shared import staged
 
 MIN_WORDS = 50
 LAST = (1 << 63) - 1
+#: Rows that a task holds before it hands them on.
+HELD_ROWS = 20_000
+_LINE = re.compile(r"[^\n]*?[.!?](?=[ \t])[ \t]*|[^\n]*\n|[^\n]+")
 
 
-def windows(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
-    """(fingerprint, hash, first line, last line), lines counted among those with a word."""
-    hashes, sizes = [], [0]
-    for line in (text or "").encode().split(b"\n"):
-        if words := line.split():
+def windows(text: str | None, min_words: int = MIN_WORDS) -> dict[int, tuple[int, list[tuple[int, int, int]]]]:
+    """By fingerprint how many lines have it, and the windows that select it: (hash of 32 bits, first line, last line), lines counted among those with a word."""
+    hashes, counts, sizes = [], [], [0]
+    for line in _LINE.findall(text or ""):
+        if words := line.encode().split():
             hashes.append(xxhash.xxh64_intdigest(b" ".join(words)))
+            counts.append(-len(words))
             sizes.append(sizes[-1] + len(words))
     n = len(hashes)
     if sizes[-1] < min_words:
-        return []
+        return {}
     spans = set()
     end = 0
     for start in range(n):  # the shortest from each line on
@@ -65,27 +75,38 @@ def windows(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int
             break
         spans.add((start, end))
     packed = np.array(hashes, np.uint64).tobytes()
-    signed = np.array(hashes, np.uint64).view(np.int64).tolist()
-    out = []
+    order, times = list(zip(counts, hashes, strict=True)), Counter(hashes)
+    out: dict[int, tuple[int, list[tuple[int, int, int]]]] = {}
     for start, end in sorted(spans):
-        whole = xxhash.xxh64_intdigest(packed[8 * start : 8 * end], 1)
-        out.append((min(signed[start:end]), whole - (1 << 64) if whole >> 63 else whole, start, end - 1))
+        least = min(order[start:end])[1]
+        whole = xxhash.xxh32_intdigest(packed[8 * start : 8 * end], 1) - (1 << 31)
+        out.setdefault(least - (1 << 64) if least >> 63 else least, (times[least], []))[1].append((whole, start, end - 1))
     return out
 
 
+_WINDOW = pa.struct([("whole", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
+
+
 def _window_batches(min_words: int):
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "th", "fp", "whole", "start", "end"]
+        rows: list[tuple] = []
+
+        def flushed() -> pa.RecordBatch:
+            *plain, own = zip(*rows, strict=True)
+            rows.clear()
+            flat = [pa.array(c, pa.int32()) for c in zip(*(w for ws in own for w in ws), strict=True)]
+            ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(flat, fields=list(_WINDOW)))
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in plain), lists], names=["id", "th", "fp", "times", "windows"])
+
         for batch in found:
-            ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows: list[tuple[int, ...]] = []
-            for i, h, t in zip(ids, hashes, batch.column(2), strict=True):
-                rows += [(i, h, *w) for w in windows(t.as_py(), min_words)]
-                if len(rows) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+            for i, h, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                for fp, (times, own) in windows(t, min_words).items():
+                    rows.append((i, h, fp, times, own))
+                    if len(rows) >= HELD_ROWS:
+                        yield flushed()
+        if rows:
+            yield flushed()
 
     return batches
 
@@ -97,26 +118,32 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     for start, end in spans:
         cut.update(range(start, end + 1))
         inside.update(range(start, end))
-    kept, at = [], -1
-    for line in text.split("\n"):
-        if line.encode().split():
-            at += 1
-            if at not in cut:
-                kept.append(line)
-        elif at not in inside:
+    kept: list[str] = []
+    at, gone = -1, False
+    for line in _LINE.findall(text):
+        worded = bool(line.encode().split())
+        at += worded
+        gone = at in cut if worded else at in inside
+        if not gone:
             kept.append(line)
-    return "\n".join(kept)
+        elif line.endswith("\n") and kept and not kept[-1].endswith("\n"):
+            kept[-1] = kept[-1].rstrip(" \t") + "\n"  # what is left of a paragraph keeps its end
+    return "".join(kept).rstrip(" \t\n") if gone else "".join(kept)
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, th, start, end): the windows of each document that occurred before; id is LAST for null."""
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    found = staged(keyed.mapInArrow(_window_batches(min_words), "id long, th long, fp long, whole long, start long, end long"))
+    kinds = "id long, th long, fp long, times long, windows array<struct<whole:int,start:int,end:int>>"
+    found = staged(keyed.mapInArrow(_window_batches(min_words), kinds))
+    repeated = staged(found.groupBy("fp").agg(F.sum("times").alias("n")).where("n > 1").select("fp"))
+    placed = found.join(repeated.hint("merge"), "fp").select("id", "th", "fp", F.inline("windows"))
+    placed = staged(placed)
     place = F.struct("id", "th", "start", "end")
-    firsts = found.groupBy("fp", "whole").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    firsts = placed.groupBy("fp", "whole").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     firsts = staged(firsts.where("first <> last").select("fp", "whole", F.col("first.id").alias("id0"), F.col("first.th").alias("th0"), F.col("first.end").alias("end0")))
     later = (F.col("id") != F.col("id0")) | (F.col("th") != F.col("th0")) | (F.col("start") > F.col("end0"))
-    return found.join(firsts, ["fp", "whole"]).where(later).select("id", "th", "start", "end")
+    return placed.join(firsts.hint("merge"), ["fp", "whole"]).where(later).select("id", "th", "start", "end")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
