@@ -62,7 +62,7 @@ def test_passage_inside_paragraphs(spark):
 
 @pytest.mark.parametrize("text", ["", "a", "a. b.c! d?\n\n e\n", "\n\n", "x.  y", "no end", "...", ". . ."])
 def test_lines_make_up_the_text(text):
-    assert "".join(lines._LINE.findall(text)) == text and lines.without(text, []) == text
+    assert "".join(lines.lines_of(text)) == text and lines.without(text, []) == text
 
 
 def test_blank_lines_go_with_their_run():

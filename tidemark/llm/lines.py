@@ -44,44 +44,54 @@ MIN_WORDS = 50
 LAST = (1 << 63) - 1
 #: Rows that a task holds before it hands them on.
 HELD_ROWS = 20_000
-_LINE = re.compile(r"[^\n]*?[.!?](?=[ \t])[ \t]*|[^\n]*\n|[^\n]+")
+_LINE = re.compile(r"[^\n.!?]*(?:[.!?](?![ \t])[^\n.!?]*)*(?:[.!?][ \t]+|\n|\Z)")
+_MASK = (1 << 64) - 1
+
+
+def lines_of(text: str | None) -> list[str]:
+    """The lines of a text, with what ends them; together they are the text."""
+    return [line for line in _LINE.findall(text or "") if line]
 
 
 def windows(text: str | None, min_words: int = MIN_WORDS) -> dict[int, tuple[int, list[tuple[int, int, int]]]]:
     """By fingerprint how many lines have it, and the windows that select it: (hash of 32 bits, first line, last line), lines counted among those with a word."""
-    hashes, counts, sizes = [], [], [0]
-    for line in _LINE.findall(text or ""):
+    hashes, keys, sizes = [], [], [0]
+    total, digest, short, join = 0, xxhash.xxh64_intdigest, xxhash.xxh32_intdigest, b" ".join
+    for line in lines_of(text):
         if words := line.encode().split():
-            hashes.append(xxhash.xxh64_intdigest(b" ".join(words)))
-            counts.append(-len(words))
-            sizes.append(sizes[-1] + len(words))
+            hashes.append(digest(join(words)))
+            total += len(words)
+            sizes.append(total)
+            keys.append(hashes[-1] - (len(words) << 64))  # more words first, then the lesser hash
     n = len(hashes)
-    if sizes[-1] < min_words:
+    if total < min_words:
         return {}
-    spans = set()
-    end = 0
+    spans, end = [], 0
     for start in range(n):  # the shortest from each line on
-        while end < n and sizes[end] - sizes[start] < min_words:
-            end += 1
-        if sizes[end] - sizes[start] < min_words:
+        if total - sizes[start] < min_words:
             break
-        spans.add((start, end))
-    start = n
+        while sizes[end] - sizes[start] < min_words:
+            end += 1
+        spans.append((start, end))
+    forward, start = set(spans), n
     for end in range(n, 0, -1):  # the shortest up to each line
+        if sizes[end] < min_words:
+            break
         start = min(start, end - 1)
-        while start and sizes[end] - sizes[start] < min_words:
+        while sizes[end] - sizes[start] < min_words:
             start -= 1
-        if sizes[end] - sizes[start] < min_words:
-            break
-        spans.add((start, end))
-    packed = np.array(hashes, np.uint64).tobytes()
-    order, times = list(zip(counts, hashes, strict=True)), Counter(hashes)
+        if (start, end) not in forward:
+            spans.append((start, end))
+    packed, times = np.array(hashes, np.uint64).tobytes(), Counter(hashes)
     out: dict[int, tuple[int, list[tuple[int, int, int]]]] = {}
-    for start, end in sorted(spans):
-        least = min(order[start:end])[1]
-        whole = xxhash.xxh32_intdigest(packed[8 * start : 8 * end], 1) - (1 << 31)
-        out.setdefault(least - (1 << 64) if least >> 63 else least, (times[least], []))[1].append((whole, start, end - 1))
-    return out
+    for start, end in spans:
+        least = min(keys[start:end]) & _MASK
+        window = (short(packed[8 * start : 8 * end], 1) - (1 << 31), start, end - 1)
+        if least in out:
+            out[least][1].append(window)
+        else:
+            out[least] = (times[least], [window])
+    return {fp - (1 << 64) if fp >> 63 else fp: found for fp, found in out.items()}
 
 
 _WINDOW = pa.struct([("whole", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
@@ -120,7 +130,7 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
         inside.update(range(start, end))
     kept: list[str] = []
     at, gone = -1, False
-    for line in _LINE.findall(text):
+    for line in lines_of(text):
         worded = bool(line.encode().split())
         at += worded
         gone = at in cut if worded else at in inside
