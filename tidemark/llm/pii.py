@@ -39,15 +39,17 @@ ADDRESS = "Mr|Mrs|Ms|Miss|Mister|Herr|Frau|Mme|Mlle|Monsieur|Madame|Señor|Seño
 CLASSES = ["aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ"]
 
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){0,8}(?<=\.[A-Za-z]{2,24})(?![A-Za-z0-9-])",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<=(?i:token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_/+-]{8,200}",
+    "secret": r"(?<![A-Za-z0-9])(?i:token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+-]{8,200}",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])",
     "card": r"(?<![0-9A-Za-z.-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z-])",
     "phone": r"(?<![0-9A-Za-z.+-])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4})(?![0-9A-Za-z-])",
     "name": rf"(?<![\p{{L}}])(?:{ADDRESS})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+){{0,2}}",
 }
 ANY = "|".join(PATTERNS.values())
+#: What stands before an assigned secret, and stays.
+ASSIGNED = r"^(?i:token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
 
 
 def found(text: Column) -> Column:
@@ -116,8 +118,13 @@ def surrogate(kind: Column, value: Column, key: str, attempt: int) -> Column:
     check = (10 - luhn_sum(F.concat(digits_of(body), F.array(F.lit("0")))) % 10) % 10
     card = F.concat(body, check.cast("string"))
     access = F.concat(F.substring(value, 1, 4), redrawn(F.substring(value, F.lit(5), F.length(value)), own, ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"]))
-    hexadecimal = F.regexp_like(value, F.lit("^[0-9a-f]+$"))
-    secret = F.when(hexadecimal, redrawn(value, own, ["0123456789abcdef"])).otherwise(redrawn(value, own, letters))
+    said = F.regexp_extract(value, ASSIGNED, 0)
+    assigned = F.substring(value, F.length(said) + 1, F.length(value))
+    theirs = stream(key, kind, assigned, attempt)
+    secret = redrawn(assigned, theirs, letters)
+    for digits in ("0123456789abcdef", "0123456789ABCDEF"):
+        secret = F.when(F.regexp_like(assigned, F.lit(f"^[{digits}]+$")), redrawn(assigned, theirs, [digits])).otherwise(secret)
+    secret = F.concat(said, secret)
     title = F.regexp_extract(value, rf"^(?:{ADDRESS})\.? ", 0)
 
     def word(w: Column) -> Column:
