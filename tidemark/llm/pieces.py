@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Bounds of a worker's tables: words of the last two generations, up to so many characters, and token pairs.
-KEPT_WORDS, KEPT_LENGTH, KEPT_PAIRS = 200_000, 48, 300_000
+KEPT_WORDS, KEPT_LENGTH, KEPT_PAIRS = 60_000, 48, 120_000
 #: Characters between which and letters no piece of a model may run, if texts are to be cut there too; checked on loading.
 LETTER, STOP = "A-Za-zÀ-ÖØ-öø-ÿ", ",.\n"
 

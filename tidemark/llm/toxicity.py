@@ -40,7 +40,7 @@ from tidemark.llm.shared import staged
 
 MAX_TOXIC, MAX_CLEAN, MAX_CANDIDATES, MAX_EXCEPTIONS = 3_000, 9_000, 3_000, 1_000
 MIN_G2, MIN_RATIO, MIN_ROWS, PREFIXES = 30.0, 3, 3, range(4, 9)
-COMPANY = 0.6
+COMPANY, HELD_ENTRIES = 0.6, 100_000
 
 # Characters that look like a Latin letter.
 LOOKALIKES = {
@@ -152,15 +152,23 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     rows = sample(docs, labels)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of a part of the rows; a task never holds more than HELD_ENTRIES of them and those of one text."""
         toxic: Counter[str] = Counter()
         clean: Counter[str] = Counter()
+
+        def flushed() -> pa.RecordBatch:
+            names = list(toxic | clean)
+            columns = [pa.array(names, pa.string()), *(pa.array([c[n] for n in names], pa.int64()) for c in (toxic, clean))]
+            toxic.clear()
+            clean.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["entry", "toxic", "clean"])
+
         for batch in batches:
             for text, label in zip(batch.column(0), batch.column(1), strict=True):
                 (toxic if label.as_py() else clean).update(features(folded(text.as_py())))
-        # What no toxic row of this task has still counts against entries that others have.
-        both = toxic | clean
-        names = list(both)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[n] for n in names], pa.int64()), pa.array([clean[n] for n in names], pa.int64())], names=["entry", "toxic", "clean"])
+                if len(toxic) + len(clean) > HELD_ENTRIES:
+                    yield flushed()
+        yield flushed()
 
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     all_toxic, all_clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -232,7 +240,7 @@ def phrases(rows: DataFrame, weights: dict[str, float]) -> frozenset[str]:
             for text, label in zip(batch.column(0), batch.column(1), strict=True):
                 words = folded(text.as_py())
                 if places := own.hits(words):
-                    at, seen = 1, set()
+                    at, seen = 0, set()
                     for i, w in enumerate(words):
                         if at in places:
                             seen |= {" ".join(words[j : j + 2]) for j in (i - 1, i) if 0 <= j < len(words) - 1}
