@@ -2,36 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from tidemark.functions.pinned import pinned, shared_dir
 
-#: Words are runs of anything but space and U+0009 to U+000D.
-WORD = r"[^\x20\x09-\x0D]+"
+#: df written to the shared folder as Parquet and read back: its lineage ends there, so a lost executor costs no recomputation beyond it.
+staged = pinned
+
+__all__ = ["shared_dir", "staged", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, else (as in tests) a temporary one that is then set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """df written to the shared folder as Parquet and read back: its lineage ends there, so a lost executor costs no recomputation beyond it."""
-    path = f"{shared_dir(df.sparkSession)}/tidemark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def words(text: Column) -> Column:
-    """Array of a text's words; null text has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
