@@ -22,3 +22,9 @@ def pinned(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/tidemark/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all pinned frames of the shared folder; for when no frame of any run that uses it is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
