@@ -43,7 +43,7 @@ from tidemark.llm.shared import staged
 THRESHOLD = 3
 CELL = 2048
 SHINGLE = 3
-_STEP = 1 << 16
+_STEP = 1 << 13
 
 #: Syndrome of every 16-bit low part and 15-bit high part of a 31-bit value:
 #: the XOR of the (one-based) positions of its set bits.
