@@ -78,3 +78,11 @@ def test_nulls_repeats_empties_and_extra_columns(spark):
     assert sorted((r.doc_id or 0, r.text, r.th) for r in found.where("text is not null").collect()) == [(0, "", 6), (1, long, 5), (1, long, 5), (3, "", 8), (4, "", 9)]
     assert found.where("text is null").count() == 1
     assert lines.dedup(docs.limit(0)).count() == 0
+
+
+def test_windows_that_a_32_bit_hash_takes_for_equal(spark):
+    long = " ".join(f"p{i}" for i in range(45)) + "."
+    near = lambda i: " ".join(f"n{i}x{k}" for k in range(6)) + "."
+    docs = [(1, f"{long}\n{near(15602)}"), (2, f"{long}\n{near(156800)}")]  # their line hashes collide in xxh32 with seed 1
+    found = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == dict(docs)

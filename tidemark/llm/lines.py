@@ -7,7 +7,9 @@ on that has at least ``min_words`` words, and, so that runs grow to both
 sides, also the shortest such run up to a given line.  Each window selects the
 line that is least by (fewer words last, hash) as fingerprint; equal windows
 select equal fingerprints, which is the guarantee of winnowing, and long lines
-are rarely equal by chance.  Fingerprints that occur once are dropped; the
+are rarely equal by chance.  Windows of one fingerprint are told apart by a
+hash of 64 bits of their own, so that a line that very many documents share,
+each with other neighbours, matches none of them by chance.  Fingerprints that occur once are dropped; the
 positions of the others are joined with the windows that selected them, to the
 first position in order of (doc_id, text hash, line) of an equal window.  A
 repeated run of at least ``min_words`` words is the union of its windows: from
@@ -54,9 +56,9 @@ def lines_of(text: str | None) -> list[str]:
 
 
 def windows(text: str | None, min_words: int = MIN_WORDS) -> dict[int, tuple[int, list[tuple[int, int, int]]]]:
-    """By fingerprint how many lines have it, and the windows that select it: (hash of 32 bits, first line, last line), lines counted among those with a word."""
+    """By fingerprint how many lines have it, and the windows that select it: (hash of 64 bits, first line, last line), lines counted among those with a word."""
     hashes, keys, sizes = [], [], [0]
-    total, digest, short, join = 0, xxhash.xxh64_intdigest, xxhash.xxh32_intdigest, b" ".join
+    total, digest, join = 0, xxhash.xxh64_intdigest, b" ".join
     for line in lines_of(text):
         if words := line.encode().split():
             hashes.append(digest(join(words)))
@@ -86,7 +88,7 @@ def windows(text: str | None, min_words: int = MIN_WORDS) -> dict[int, tuple[int
     out: dict[int, tuple[int, list[tuple[int, int, int]]]] = {}
     for start, end in spans:
         least = min(keys[start:end]) & _MASK
-        window = (short(packed[8 * start : 8 * end], 1) - (1 << 31), start, end - 1)
+        window = (digest(packed[8 * start : 8 * end], 1) - (1 << 63), start, end - 1)
         if least in out:
             out[least][1].append(window)
         else:
@@ -94,7 +96,7 @@ def windows(text: str | None, min_words: int = MIN_WORDS) -> dict[int, tuple[int
     return {fp - (1 << 64) if fp >> 63 else fp: found for fp, found in out.items()}
 
 
-_WINDOW = pa.struct([("whole", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
+_WINDOW = pa.struct([("whole", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
 
 def _window_batches(min_words: int):
@@ -104,7 +106,7 @@ def _window_batches(min_words: int):
         def flushed() -> pa.RecordBatch:
             *plain, own = zip(*rows, strict=True)
             rows.clear()
-            flat = [pa.array(c, pa.int32()) for c in zip(*(w for ws in own for w in ws), strict=True)]
+            flat = [pa.array(c, f.type) for c, f in zip(zip(*(w for ws in own for w in ws), strict=True), _WINDOW, strict=True)]
             ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(flat, fields=list(_WINDOW)))
             return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in plain), lists], names=["id", "th", "fp", "times", "windows"])
@@ -144,7 +146,7 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, th, start, end): the windows of each document that occurred before; id is LAST for null."""
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    kinds = "id long, th long, fp long, times long, windows array<struct<whole:int,start:int,end:int>>"
+    kinds = "id long, th long, fp long, times long, windows array<struct<whole:long,start:int,end:int>>"
     found = staged(keyed.mapInArrow(_window_batches(min_words), kinds))
     repeated = staged(found.groupBy("fp").agg(F.sum("times").alias("n")).where("n > 1").select("fp"))
     placed = found.join(repeated.hint("merge"), "fp").select("id", "th", "fp", F.inline("windows"))
