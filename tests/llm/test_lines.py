@@ -86,3 +86,29 @@ def test_windows_that_a_32_bit_hash_takes_for_equal(spark):
     docs = [(1, f"{long}\n{near(15602)}"), (2, f"{long}\n{near(156800)}")]  # their line hashes collide in xxh32 with seed 1
     found = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert found == dict(docs)
+
+
+def test_passages_that_begin_and_end_inside_sentences(spark):
+    run = " ".join(f"p{i}" for i in range(20)) + ". " + " ".join(f"q{i}" for i in range(20)) + ". " + " ".join(f"r{i}" for i in range(21))
+    short = run.rsplit(" ", 12)[0]  # 49 words
+    docs = [(1, f"one a {run} b one. End"), (2, f"two c {run} d two. Other"), (3, f"three e {run}"), (4, f"{run} f four"), (5, f"five g {short} h five")]
+    found = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == {1: docs[0][1], 2: "two c d two. Other", 3: "three e", 4: "f four", 5: docs[4][1]}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_words_as_brute_force(spark, seed):
+    rng = random.Random(seed)
+    docs = [[rng.choice("abc") for _ in range(rng.randint(0, 40))] for _ in range(30)]
+    seen, least = {}, 6
+    kept = []
+    for d, own in enumerate(docs):
+        gone = set()
+        for a in range(len(own) - least + 1):
+            place = seen.setdefault(tuple(own[a : a + least]), (d, a))
+            if place[0] < d or place[1] + least <= a:
+                gone |= set(range(a, a + least))
+        kept.append([w for i, w in enumerate(own) if i not in gone])
+    frame = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(docs)], "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.text.split() for r in lines.dedup(frame, min_words=least).collect()}
+    assert found == dict(enumerate(kept))

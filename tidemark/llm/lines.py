@@ -1,41 +1,40 @@
-"""Line dedup: runs of lines that occurred before are deleted, found by winnowing over line hashes.
-
-A line ends at a line break or after a sentence end that white space follows,
-so a passage inside a paragraph is a run of lines as well.  Lines without a
-word are passed over.  A window is the shortest run of lines from a given line
-on that has at least ``min_words`` words, and, so that runs grow to both
-sides, also the shortest such run up to a given line.  Each window selects the
-line that is least by (fewer words last, hash) as fingerprint; equal windows
-select equal fingerprints, which is the guarantee of winnowing, and long lines
-are rarely equal by chance.  Windows of one fingerprint are told apart by a
-hash of 64 bits of their own, so that a line that very many documents share,
-each with other neighbours, matches none of them by chance.  Fingerprints that occur once are dropped; the
-positions of the others are joined with the windows that selected them, to the
-first position in order of (doc_id, text hash, line) of an equal window.  A
-repeated run of at least ``min_words`` words is the union of its windows: from
-a matching window it extends left by windows that start earlier and right by
-windows that end later.  So exactly those lines go that lie in a run of
-``min_words`` words or more that occurred, without overlapping it, before.
-
-Scale: fingerprints and windows are pre-aggregated (to counts, and to first
+"""Line dedup: runs of words that occurred before are deleted, found by winnowing over word hashes.
+
+Words are what white space parts.  A window is ``min_words`` words in a row,
+wherever it begins: within lines, across them, or in the middle of sentences.
+Each window selects, as fingerprint, the least hash of the runs of half as many words in it,
+the leftmost of equals; equal windows select equal fingerprints, which is the
+guarantee of winnowing.  Windows in a row that select one fingerprint are a
+stretch, and later copies of a whole stretch are cut at once.  First stretches
+whose fingerprint has other stretches too are compared window by window, by
+fingerprint and a hash of 64 bits of the window, so that a passage that very
+many documents share, each with other neighbours, matches none by chance.  A window is deleted if an equal
+one comes before it, without overlapping it, in order of (doc_id, text hash,
+word).  A repeated run of ``min_words`` words or more is the union of its
+windows, so exactly those words go that lie in such a run.
+
+Scale: stretches and windows are pre-aggregated (to counts and first
 positions), no pairs of positions are ever made; a hot fingerprint only skews
-sort-merge joins, which adaptive execution splits.  Texts are shuffled once.
-
-Defined results: null text stays null; blank lines inside a deleted run go
-with it, and white space before a deleted end of text; a text whose lines all
-go becomes empty, and its row stays; rows with a null doc_id come last in the
-order; rows repeating id and text are one document, cut alike; extra columns
-are kept.
+sort-merge joins, which adaptive execution splits.  Texts are shuffled twice:
+to meet their stretches, and to meet the windows to be cut.
+
+Defined results: null text stays null; white space inside a deleted run goes
+with it, as does the line's end where a whole line goes, and white space
+before a deleted end of text; a text whose words all go becomes empty, and its
+row stays; rows with a null doc_id come last in the order; rows repeating id
+and text are one document, cut alike; extra columns are kept.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,10 +43,14 @@ from tidemark.llm.shared import staged
 
 MIN_WORDS = 50
 LAST = (1 << 63) - 1
-#: Rows that a task holds before it hands them on.
-HELD_ROWS = 20_000
+#: Bytes of text that are hashed at once; a longer text is hashed alone.
+HELD_BYTES = 1 << 20
 _LINE = re.compile(r"[^\n.!?]*(?:[.!?](?![ \t])[^\n.!?]*)*(?:[.!?][ \t]+|\n|\Z)")
-_MASK = (1 << 64) - 1
+_WORD = re.compile(r"[^ \t-\r]+")
+_AFTER = re.compile(r"[ \t\r\v\f]*\n?")
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTE = np.array([xxhash.xxh64_intdigest(bytes([b]), 1) for b in range(256)], np.uint64)
+_BASE = 0x9E3779B97F4A7C15
 
 
 def lines_of(text: str | None) -> list[str]:
@@ -55,111 +58,143 @@ def lines_of(text: str | None) -> list[str]:
     return [line for line in _LINE.findall(text or "") if line]
 
 
-def windows(text: str | None, min_words: int = MIN_WORDS) -> dict[int, tuple[int, list[tuple[int, int, int]]]]:
-    """By fingerprint how many lines have it, and the windows that select it: (hash of 64 bits, first line, last line), lines counted among those with a word."""
-    hashes, keys, sizes = [], [], [0]
-    total, digest, join = 0, xxhash.xxh64_intdigest, b" ".join
-    for line in lines_of(text):
-        if words := line.encode().split():
-            hashes.append(digest(join(words)))
-            total += len(words)
-            sizes.append(total)
-            keys.append(hashes[-1] - (len(words) << 64))  # more words first, then the lesser hash
-    n = len(hashes)
-    if total < min_words:
-        return {}
-    spans, end = [], 0
-    for start in range(n):  # the shortest from each line on
-        if total - sizes[start] < min_words:
-            break
-        while sizes[end] - sizes[start] < min_words:
-            end += 1
-        spans.append((start, end))
-    forward, start = set(spans), n
-    for end in range(n, 0, -1):  # the shortest up to each line
-        if sizes[end] < min_words:
-            break
-        start = min(start, end - 1)
-        while sizes[end] - sizes[start] < min_words:
-            start -= 1
-        if (start, end) not in forward:
-            spans.append((start, end))
-    packed, times = np.array(hashes, np.uint64).tobytes(), Counter(hashes)
-    out: dict[int, tuple[int, list[tuple[int, int, int]]]] = {}
-    for start, end in spans:
-        least = min(keys[start:end]) & _MASK
-        window = (digest(packed[8 * start : 8 * end], 1) - (1 << 63), start, end - 1)
-        if least in out:
-            out[least][1].append(window)
-        else:
-            out[least] = (times[least], [window])
-    return {fp - (1 << 64) if fp >> 63 else fp: found for fp, found in out.items()}
+@lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2**64."""
+    return tuple(np.cumprod(np.append(np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
 
 
-_WINDOW = pa.struct([("whole", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
-def _window_batches(min_words: int):
+def windows(texts: list[bytes], min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
+    """Of each window: its text's place in texts, its first word, where its fingerprint stands, the fingerprint, its own hash."""
+    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    edges = np.flatnonzero(np.diff(_SPACE[data], prepend=True))
+    starts, ends = edges[::2], edges[1::2]
+    n = len(starts)
+    if n < min_words:
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    power, inverse = _powers(1 << max(HELD_BYTES * 2, len(data)).bit_length())
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power[: len(data)], dtype=np.uint64)])
+    words = _mixed((sums[ends] - sums[starts]) * inverse[starts])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[:n], dtype=np.uint64)])
+
+    def runs(k: int) -> np.ndarray:
+        return _mixed((sums[k:] - sums[:-k]) * inverse[: n - k + 1])
+
+    k = max(min_words // 2, 1)
+    short, whole = runs(k), runs(min_words)
+    own = np.flatnonzero(doc[: len(whole)] == doc[min_words - 1 :])  # windows that end in their text
+    at = own + np.lib.stride_tricks.sliding_window_view(short, min_words - k + 1).argmin(1)[own]
+    return doc[own], own - bounds[doc[own]], at, short[at], whole[own]
+
+
+def _held(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with about HELD_BYTES of text; the texts, as bytes, come third."""
+    for batch in found:
+        sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist()
+        at = size = 0
+        for i, more in enumerate(sizes):
+            if i > at and size + more > HELD_BYTES:
+                yield batch.slice(at, i - at)
+                at, size = i, 0
+            size += more + 1
+        if at < batch.num_rows:
+            yield batch.slice(at)
+
+
+def _windows_of(batch: pa.RecordBatch, min_words: int) -> tuple[np.ndarray, ...]:
+    return windows([t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()], min_words)
+
+
+_RUNS = "id long, th long, fp long, run long, start int, n int"
+
+
+def _run_batches(min_words: int):
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        for batch in _held(found):
+            doc, start, at, fp, whole = _windows_of(batch, min_words)
+            new = np.flatnonzero(np.diff(at, prepend=-1))
+            n = np.diff(new, append=len(at))
+            run = _mixed(whole[new] + np.uint64(_BASE) * whole[new + n - 1] + n.astype(np.uint64))  # they overlap, so both are the run
+            rows = pa.array(doc[new])
+            plain = [pa.array(x.view(np.int64)) for x in (fp[new], run)] + [pa.array(x.astype(np.int32)) for x in (start[new], n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *plain], names=["id", "th", "fp", "run", "start", "n"])
 
-        def flushed() -> pa.RecordBatch:
-            *plain, own = zip(*rows, strict=True)
-            rows.clear()
-            flat = [pa.array(c, f.type) for c, f in zip(zip(*(w for ws in own for w in ws), strict=True), _WINDOW, strict=True)]
-            ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(flat, fields=list(_WINDOW)))
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in plain), lists], names=["id", "th", "fp", "times", "windows"])
+    return batches
 
-        for batch in found:
-            for i, h, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                for fp, (times, own) in windows(t, min_words).items():
-                    rows.append((i, h, fp, times, own))
-                    if len(rows) >= HELD_ROWS:
-                        yield flushed()
-        if rows:
-            yield flushed()
+
+def _window_batches(min_words: int):
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _held(found):
+            doc, start, _, fp, whole = _windows_of(batch, min_words)
+            lists = batch.column(3)
+            flat = lists.flatten()
+            of = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            first, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            some = np.repeat(np.searchsorted(doc, of) + first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            rows = pa.array(doc[some])
+            columns = [batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(c[some].view(np.int64)) for c in (fp, whole)), pa.array(start[some].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "fp", "whole", "start"])
 
     return batches
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
-    """text less the lines of spans, and less the blank lines between lines of one span."""
-    cut: set[int] = set()
-    inside: set[int] = set()  # lines after which a run goes on
-    for start, end in spans:
-        cut.update(range(start, end + 1))
-        inside.update(range(start, end))
-    kept: list[str] = []
-    at, gone = -1, False
-    for line in lines_of(text):
-        worded = bool(line.encode().split())
-        at += worded
-        gone = at in cut if worded else at in inside
-        if not gone:
-            kept.append(line)
-        elif line.endswith("\n") and kept and not kept[-1].endswith("\n"):
-            kept[-1] = kept[-1].rstrip(" \t") + "\n"  # what is left of a paragraph keeps its end
-    return "".join(kept).rstrip(" \t\n") if gone else "".join(kept)
+    """text less the words of spans, and less the white space inside a span and after it up to the line's end."""
+    merged: list[list[int]] = []
+    for start, end in sorted(spans):
+        if merged and start <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], end)
+        else:
+            merged.append([start, end])
+    if not merged:
+        return text
+    words = [m.span() for m in _WORD.finditer(text)]
+    kept, at = "", 0
+    for start, end in merged:
+        kept += text[at : words[start][0]]
+        bare = kept.rstrip(" \t")
+        if not bare or bare.endswith("\n"):
+            kept = bare  # the line goes from its start on
+        at = _AFTER.match(text, words[end][1]).end()
+        if text[at - 1] == "\n" and kept and not kept.endswith("\n"):
+            kept = kept.rstrip(" \t") + "\n"  # what is left of a paragraph keeps its end
+    return kept + text[at:] if at < len(text) else kept.rstrip(" \t\n")
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, th, start, end): the windows of each document that occurred before; id is LAST for null."""
+    """(id, th, start, end): runs of words of each document that occurred before; id is LAST for null."""
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    kinds = "id long, th long, fp long, times long, windows array<struct<whole:long,start:int,end:int>>"
-    found = staged(keyed.mapInArrow(_window_batches(min_words), kinds))
-    repeated = staged(found.groupBy("fp").agg(F.sum("times").alias("n")).where("n > 1").select("fp"))
-    placed = found.join(repeated.hint("merge"), "fp").select("id", "th", "fp", F.inline("windows"))
-    placed = staged(placed)
-    place = F.struct("id", "th", "start", "end")
-    firsts = placed.groupBy("fp", "whole").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    firsts = staged(firsts.where("first <> last").select("fp", "whole", F.col("first.id").alias("id0"), F.col("first.th").alias("th0"), F.col("first.end").alias("end0")))
-    later = (F.col("id") != F.col("id0")) | (F.col("th") != F.col("th0")) | (F.col("start") > F.col("end0"))
-    return placed.join(firsts.hint("merge"), ["fp", "whole"]).where(later).select("id", "th", "start", "end")
+    place = F.struct("id", "th", "start")
+    elsewhere = (F.col("id") != F.col("first.id")) | (F.col("th") != F.col("first.th"))
+    # Windows in a row of one fingerprint, as a whole: later copies are cut, without looking at their windows.
+    found = staged(keyed.mapInArrow(_run_batches(min_words), _RUNS))
+    kinds = staged(found.groupBy("fp", "run").agg(F.min(place).alias("first"), F.min("n").alias("n"), F.count("*").alias("times")))
+    copies = found.join(kinds.where("times > 1").select("fp", "run", "first").hint("merge"), ["fp", "run"]).where(elsewhere | (F.col("start") != F.col("first.start")))
+    apart = elsewhere | (F.col("start") >= F.col("first.start") + F.col("n") - 1 + min_words)
+    copies = staged(copies.select("id", "th", "fp", "start", "n", apart.alias("apart")))
+    # First ones are compared window by window where their fingerprint has other runs, or copies that overlap.
+    rest = copies.where("not apart")
+    open_ = kinds.groupBy("fp").agg(F.count("*").alias("k")).where("k > 1").select("fp").unionAll(rest.select("fp")).distinct()
+    wanted = kinds.join(open_.hint("merge"), "fp").select("first.id", "first.th", "first.start", "n").unionAll(rest.select("id", "th", "start", "n"))
+    wanted = staged(wanted.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set(F.struct("start", "n")).alias("runs")))
+    texts = keyed.join(wanted.hint("merge"), (F.col("id") == F.col("_id")) & (F.col("th") == F.col("_th"))).select("id", "th", "text", "runs")
+    placed = staged(texts.mapInArrow(_window_batches(min_words), "id long, th long, fp long, whole long, start int"))
+    firsts = placed.groupBy("fp", "whole").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").select("fp", "whole", "first")
+    later = placed.join(firsts.hint("merge"), ["fp", "whole"]).where(elsewhere | (F.col("start") >= F.col("first.start") + min_words))
+    whole = copies.where("apart").select("id", "th", "start", (F.col("start") + F.col("n") + (min_words - 2)).alias("end"))
+    return whole.unionAll(later.select("id", "th", "start", (F.col("start") + (min_words - 1)).alias("end")))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """docs, all columns, with later repeated runs of lines deleted from the text."""
+    """docs, all columns, with later repeated runs of words deleted from the text."""
     runs = repeated_runs(docs, id_col, text_col, min_words).groupBy("id", "th").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
     runs = staged(runs.withColumnsRenamed({"id": "_id", "th": "_th"}))
     own = (F.coalesce(docs[id_col].cast("long"), F.lit(LAST)) == runs["_id"]) & (F.xxhash64(docs[text_col]) == runs["_th"])
@@ -168,10 +203,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     def cut(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             at = batch.schema.get_field_index(text_col)
-            texts = [
-                t.as_py() if s.as_py() is None else without(t.as_py(), [(x["start"], x["end"]) for x in s.as_py()])
-                for t, s in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True)
-            ]
+            lists = batch.column(batch.num_columns - 1)
+            spans = iter(zip(*(lists.flatten().field(k).to_pylist() for k in (0, 1)), strict=True))
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
+            texts = [without(t, list(islice(spans, n))) if n else t for t, n in zip(batch.column(at).to_pylist(), sizes, strict=True)]
             columns = batch.columns[:-1]
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
