@@ -50,3 +50,12 @@ def test_repeats_nulls_and_extra_columns(spark):
     assert pii.replaced(docs.limit(0), "k").count() == 0
     plan = found._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_assigned_secrets_are_replaced_to_their_end(spark):
+    long, jwt = "a1B2c3D4" * 40, "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0NTY3.SflKxwRJSMeKKF2QT4=="
+    found = run(spark, [(1, f"password={long} end"), (2, f"token={jwt}. End"), (3, f"api_key: {jwt}")])
+    news = {i: r.text for i, r in found.items()}
+    assert re.fullmatch(r"password=[A-Za-z0-9]{320} end", news[1]) and long[-20:] not in news[1]
+    assert not any(part in news[i] for part in jwt.strip("=").split(".") for i in (2, 3))
+    assert news[2].endswith("==. End") and news[2][len("token=") : -len(". End")] == news[3][len("api_key: ") :]
