@@ -4,15 +4,17 @@ The encoding that greedy merging (best score first, leftmost on ties) ends in
 is the only token sequence in which every adjacent pair survives: merging the
 characters of the two tokens anew gives back just these two.  So the encoder
 takes, left to right, the longest token that an Aho-Corasick pass found at the
-position; on an incompatible pair it tries the next shorter one, and when none
-is left it goes one token back, marking the position in a bitfield of
-positions from which no encoding can be finished.  Each position fails once
-at most, so a text without any white space is still linear.
+position; on an incompatible pair it tries the next shorter one (the longest
+token that begins this one), and when none is left it goes one token back,
+marking the position in a bitfield of positions from which no encoding can be
+finished.  Each position fails once at most, so a text without any white space
+is still linear.
 
 Where a model has no piece with a word mark after another character, or with
 a stop next to a letter (both are checked on loading), no merge crosses these
 places, and texts are cut there.  Encoded words are kept in tables of bounded
-size.
+size; the text decoded from a word's ids is kept as well where it is not the
+word with spaces for marks.
 
 The model file is read once by the driver and sent with the task (its size is
 that of a vocabulary file, not of the data).  Defined results: null text is
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Bounds of a worker's tables: words of the last two generations, up to so many characters, and token pairs.
-KEPT_WORDS, KEPT_LENGTH, KEPT_PAIRS = 60_000, 48, 120_000
+KEPT_WORDS, KEPT_LENGTH, KEPT_PAIRS = 150_000, 48, 200_000
 #: Characters between which and letters no piece of a model may run, if texts are to be cut there too; checked on loading.
 LETTER, STOP = "A-Za-zÀ-ÖØ-öø-ÿ", ",.\n"
 
@@ -96,20 +98,25 @@ class Codec:
         worded = [r for p, r in self.rank.items() if p.strip(MARK)]
         if len(set(worded)) < len(worded) or len(self.bytes) < 256:
             raise ValueError("only models with byte fallback and, runs of word marks apart, one score for each piece are supported")
-        self.matches = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for p in self.ids:
-            if len(p) > 1 and self.merged(p) == [p]:  # other pieces can never come out of merging
-                self.matches.add_word(p)
+        self.matches = ahocorasick.Automaton()
+        self.shorter: dict[str, str] = {}  # the longest token that begins a token
+        alive = {p for p in self.ids if len(p) > 1 and self.merged(p) == [p]}  # other pieces can never come out of merging
+        for p in alive:
+            self.matches.add_word(p, (len(p) - 1, p))
+            self.shorter[p] = next((p[:n] for n in range(len(p) - 1, 1, -1) if p[:n] in alive), p[0])
         self.matches.make_automaton()
+        self.shown = {p: str(i) for p, i in self.ids.items()}
+        self.plain = {p: p.replace(MARK, " ") for p in self.ids}
         parts = f"{MARK}*[^{MARK}]+|{MARK}+"
         if not any(re.search(rf"[{LETTER}][{STOP}]|[{STOP}][{LETTER}]", p) for p in self.ids):
             parts = rf"{MARK}*[{LETTER}]+(?=[{STOP}{MARK}]|\Z)|[{STOP}]+(?=[{LETTER}{MARK}]|\Z)|{parts}"
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             parts = ".+"
         self.cut = re.compile(parts, re.DOTALL).findall
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
+        self.pairs: dict[str, dict[str, bool]] = {"": {}}  # by the token before
+        self.known = 0
+        self.words: dict[str, str | tuple[str, str]] = {}
+        self.older: dict[str, str | tuple[str, str]] = {}
 
     def merged(self, text: str) -> list[str]:
         """The characters of a short text after merging, best rank first, leftmost on ties."""
@@ -127,43 +134,45 @@ class Codec:
         return parts
 
     def compatible(self, a: str, b: str) -> bool:
-        """Whether two adjacent tokens come out again when their characters are merged anew."""
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self.merged(a + b) == [a, b]
+        """Whether two adjacent tokens come out again when their characters are merged anew; anything may come first."""
+        if self.known >= KEPT_PAIRS:
+            self.pairs, self.known = {"": {}}, 0
+        found = not a or self.merged(a + b) == [a, b]
+        self.pairs.setdefault(a, {})[b] = found
+        self.known += 1
         return found
 
     def split(self, text: str) -> list[str]:
         """The tokens of a text in which word marks stand for spaces."""
-        lengths: dict[int, list[int]] = {}  # at each start, the lengths of its tokens, rising
-        for end, n in self.matches.iter(text):
-            lengths.setdefault(end - n + 1, [1]).append(n)
-        failed = bytearray(len(text) // 8 + 1)
+        longest = list(text)  # at each start, the longest token
+        for end, (more, token) in self.matches.iter(text):
+            longest[end - more] = token
+        failed: bytearray | None = None
+        shorter, none = self.shorter.get, {}
         out: list[str] = []
-        tried: list[int] = []  # for each token, how many of the lengths at its start are still left
-        single, size, last, at = [1], len(text), "", 0
-        here = lengths.get(0, single)
-        left = len(here)
+        size, last, at, token = len(text), "", 0, longest[0] if text else None
         while at < size:
-            while left:
-                left -= 1
-                end = at + here[left]
-                token = text[at:end]
-                if not failed[end >> 3] >> (end & 7) & 1 and (not last or self.compatible(last, token)):
-                    out.append(token)
-                    tried.append(left)
-                    last, at = token, end
-                    here = lengths.get(at, single)
-                    left = len(here)
+            follows = self.pairs.get(last, none)
+            while token is not None:
+                fits = follows.get(token)
+                if fits is None:
+                    fits = self.compatible(last, token)
+                if fits and (failed is None or not failed[(end := at + len(token)) >> 3] >> (end & 7) & 1):
                     break
+                token = shorter(token)
+            if token is not None:
+                out.append(token)
+                at += len(token)
+                last, token = token, longest[at] if at < size else None
             else:
                 if not out:
                     raise AssertionError("every text has an encoding")
+                if failed is None:
+                    failed = bytearray(size // 8 + 1)
                 failed[at >> 3] |= 1 << (at & 7)
-                at -= len(out.pop())
-                here, left, last = lengths.get(at, single), tried.pop(), out[-1] if out else ""
+                before = out.pop()
+                at -= len(before)
+                last, token = out[-1] if out else "", shorter(before)
         return out
 
     def token_ids(self, token: str) -> list[int]:
@@ -175,12 +184,18 @@ class Codec:
             text = re.sub(" +", " ", text.strip(" "))
         return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
 
-    def word(self, word: str) -> tuple[int, str, str]:
-        """(tokens, ids joined by commas, decoded text) of a part that no merge crosses."""
+    def word(self, word: str) -> str | tuple[str, str]:
+        """The ids, joined by commas, of a part that no merge crosses, and the text decoded from them where it is not the part itself with spaces for marks."""
         found = self.older.get(word)
         if found is None:
-            ids = [i for t in self.split(word) for i in self.token_ids(t)]
-            found = len(ids), ",".join(map(str, ids)), self.joined(ids)
+            tokens = self.split(word)
+            try:
+                found, decoded = ",".join([self.shown[t] for t in tokens]), "".join([self.plain[t] for t in tokens])
+            except KeyError:  # bytes
+                ids = [i for t in tokens for i in self.token_ids(t)]
+                found, decoded = ",".join(map(str, ids)), self.joined(ids)
+            if decoded != word.replace(MARK, " "):
+                found = found, decoded
         if len(word) <= KEPT_LENGTH:
             if len(self.words) >= KEPT_WORDS:
                 self.older, self.words = self.words, {}
@@ -215,10 +230,17 @@ class Codec:
 
     def round_trip(self, text: str | None) -> tuple[int, str, str]:
         """(tokens, ids joined by commas, decoded text) of a whole text."""
-        make = self.word
-        parts = [self.words.get(w) or make(w) for w in self.cut(self.normalized(text or ""))]
-        decoded = "".join([p[2] for p in parts])
-        return sum([p[0] for p in parts]), ",".join([p[1] for p in parts]), decoded[1:] if self.prefix or self.trim else decoded
+        whole = self.normalized(text or "")
+        if not whole:
+            return 0, "", ""
+        make, words = self.word, self.cut(whole)
+        parts = [self.words.get(w) or make(w) for w in words]
+        try:
+            ids, decoded = ",".join(parts), whole.replace(MARK, " ")
+        except TypeError:  # a part that does not decode to itself
+            pairs = [(p, w.replace(MARK, " ")) if isinstance(p, str) else p for p, w in zip(parts, words, strict=True)]
+            ids, decoded = ",".join([p for p, _ in pairs]), "".join([t for _, t in pairs])
+        return ids.count(",") + 1, ids, decoded[1:] if self.prefix or self.trim else decoded
 
 
 def utf8(data: bytes) -> str:
