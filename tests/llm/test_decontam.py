@@ -13,7 +13,7 @@ def flagged(spark, texts, items=(ITEM, OTHER)):
 def test_verbatim_and_reparameterised(spark):
     new = ITEM.replace("Boston", "Lisbon").replace("Denver", "Madrid").replace("60", "72.5").replace("45", "51")
     found = flagged(spark, [(1, f"so it was {ITEM} and then"), (2, f"x {new} y"), (3, "nothing of the kind here at all, only words of one sort or another"), (4, OTHER.upper())])
-    assert found == [(1, 0, 1.0), (2, 0, 1.0)]
+    assert found == [(1, 0, 1.0), (2, 0, 1.0), (4, 1, 1.0)]
 
 
 def test_inconsistent_slots(spark):
@@ -24,6 +24,12 @@ def test_inconsistent_slots(spark):
     assert [d for d, _, _ in flagged(spark, [(1, same), (2, mixed), (3, merged)], (item,))] == [1]
 
 
+def test_items_of_names_and_numbers_and_short_ones(spark):
+    item = "Alice Bob 3 5 7 9 Carol 11 Dave 12 Erin 14 apples"
+    docs = [(1, f"so {item} then"), (2, item.upper()), (3, "Xena Bo 4 6 8 9 Cay 10 Dan 1 Eve 15 pears"), (4, "Name it!"), (5, "they name it so"), (6, "1 2 3 4 5 6 7 8 9 10 11 12")]
+    assert flagged(spark, docs, (item, "name it")) == [(1, 0, 1.0), (2, 0, 1.0), (4, 1, 1.0)]
+
+
 def test_half_of_an_item_is_enough_and_less_is_not(spark):
     words = OTHER.split()
     n = len(words) - 7
