@@ -65,11 +65,84 @@ def test_good_kept_and_bad_rejected(spark):
     assert {tuple(r.failed_rules) for r in found if not r.kept} == {("symbol_ratio",)}
 
 
-def test_cutoffs_bound_false_rejections(spark):
-    rows = [(i, float(i % 100) / 100) for i in range(4000)]
-    frame = spark.createDataFrame([(i, "en", False, 0.0, 0.0, v, 5.0, 5.0) for i, v in rows], "doc_id long, stratum string, base_failed boolean, symbol_ratio double, dup_line_ratio double, repeat_ratio double, mean_word_over double, mean_word_under double")
-    labels = spark.createDataFrame([(i, int(v < 0.9)) for i, v in rows], "doc_id long, quality int")
-    assert quality.cutoffs(frame, labels)["en"] == {"repeat_ratio": 0.5} or quality.cutoffs(frame, labels)["en"] == {}
+FRAME = "doc_id long, stratum string, base_failed boolean, symbol_ratio double, dup_line_ratio double, repeat_ratio double, mean_word_over double, mean_word_under double"
+
+
+def measures(rng, n):
+    rows, labels = [], []
+    for i in range(n):
+        good = rng.random() < 0.8
+        r = [max(0.0, rng.gauss(m if good else b, s)) for m, b, s in ((0.02, 0.2, 0.05), (0.1, 0.15, 0.1), (0.1, 0.3, 0.1))]
+        rows.append((i, rng.choice(["en", "fr", None]), rng.random() < 0.1, *r, *[rng.gauss(5, 1 if good else 3)] * 2))
+        labels.append((i, int(good)))
+    return rows, labels
+
+
+def rejected(row, cut):
+    return any(c is not None and c == c and ((row[3 + k] > c) if k < 4 else (row[3 + k] < c)) for k, c in enumerate(cut))
+
+
+def by_brute_force(rows, truth, folds, delta, risk):
+    """The cutoffs of one stratum, each setting judged on the documents themselves."""
+    grid = list(quality.GRID.values())
+    lay = [(r, truth[r[0]]) for r in rows if not r[2] and folds[r[0]] == 0]
+    test = [r for r in rows if not r[2] and folds[r[0]] and truth[r[0]]]
+    now, safe = [None] * 5, [None] * 5
+    while True:
+        at = [-1 if c is None else g.index(c) for c, g in zip(now, grid)]
+        n = [sum(t == k for _, t in lay) or 1 for k in (0, 1)]
+        old = [[sum(rejected(r, now) for r, t in lay if t == k)] for k in (0, 1)]
+        steps = []
+        for k in range(5):
+            for j in range(at[k] + 1, len(grid[k])):
+                new = [*now[:k], grid[k][j], *now[k + 1 :]]
+                won, lost = (sum(rejected(r, new) for r, t in lay if t == g) - old[g][0] for g in (0, 1))
+                if won / n[0] > lost / n[1]:
+                    steps.append((won / (lost + 1), -j, -k, new))
+        if not steps:
+            return safe
+        now = max(steps, key=lambda x: x[:3])[3]
+        if not test or quality.upper_bound(sum(rejected(r, now) for r in test), len(test), delta) > risk:
+            return safe
+        safe = now
+
+
+def test_cutoffs_as_by_brute_force(spark):
+    rng = random.Random(7)
+    rows, labels = measures(rng, 900)
+    truth = dict(labels)
+    frame = spark.createDataFrame(rows, FRAME)
+    folds = {r.doc_id: r.f for r in frame.selectExpr("doc_id", f"pmod(xxhash64(doc_id), {quality.FOLDS}) AS f").collect()}
+    found = {r.stratum: list(r[1:]) for r in quality.cutoffs(frame, spark.createDataFrame(labels, "doc_id long, quality int"), risk=0.1).collect()}
+    assert set(found) == {"en", "fr", None} and any(c is not None for own in found.values() for c in own)
+    for stratum, own in found.items():
+        assert [None if c is None or c != c else c for c in own] == by_brute_force([r for r in rows if r[1] == stratum], truth, folds, 0.05 / 3, 0.1)
+
+
+def test_guarantee_holds_over_many_draws():
+    """The true share of good documents that the chosen setting rejects exceeds the risk in at most about delta of the draws."""
+    import numpy as np
+    import pandas as pd
+
+    rng, over, draws = np.random.default_rng(5), 0, 300
+    share = np.linspace(0.2, 0.0, 14)  # of good documents, those that a candidate is the first to reject
+    share = share / share.sum() * 0.3
+    for _ in range(draws):
+        rows = []
+        for good, n in ((1, 400), (0, 100)):
+            p = share if good else np.full(14, 0.05)
+            first = rng.choice(15, n, p=[*p[::-1], 1 - p.sum()])
+            rows += [(good, int(rng.integers(quality.FOLDS)), int(f), *[len(g) for g in list(quality.GRID.values())[1:]], 1) for f in first]
+        setting = quality.chosen(pd.DataFrame(rows, columns=["good", "fold", *quality.GRID, "n"]), 0.1, 0.05)
+        over += share[::-1][: setting[0]].sum() > 0.1
+    assert over <= 0.05 * draws + 12
+
+
+def test_many_strata(spark):
+    rows = [(i * 300 + k, f"s{i}", False, 0.5 if k % 6 == 0 else 0.01, 0.0, 0.0, 5.0, 5.0) for i in range(300) for k in range(300)]
+    frame = spark.createDataFrame(rows, FRAME)
+    labels = frame.selectExpr("doc_id", "cast(symbol_ratio < 0.1 AS int) AS quality")
+    assert {r.symbol_ratio for r in quality.cutoffs(frame, labels).collect()} == {0.4}
 
 
 def test_no_labels_nulls_repeats_and_extra_columns(spark):

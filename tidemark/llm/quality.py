@@ -1,35 +1,40 @@
 """Quality rules whose cutoffs bound the false rejections of good documents.
 
 Each rule rejects a document whose ratio is over (or under) a cutoff.  The
-cutoffs are chosen on a labelled holdout, stratum by stratum: of a grid of
-candidates from lenient to strict, those are safe whose exact
-(Clopper-Pearson) upper bound on the share of good documents rejected is at
-most ``risk``; of the safe ones that with the largest gain (share of bad
-documents rejected less share of good ones) is taken, the most lenient on
-ties, and none where nothing is gained.  The bound holds for all cutoffs of all rules and strata at
-once: the error probability ``delta`` is divided by the number of (stratum,
-rule) pairs, and along one grid candidates are tested in order until the first
-failure (fixed-sequence testing needs no further correction), so with
-probability 1 - delta no chosen cutoff rejects more than ``risk`` of the good
-documents of its stratum.  The rules of a stratum share its allowance: each
-gets ``risk`` divided by the number of rules.
-
-Only counts per (stratum, rule, candidate) reach the driver: their number is
-fixed by the grid and the strata, not by the data.  Statistics of a text are
-taken by one pass over the whole text in Python, one document at a time.
-
-Defined results: null text has no words; no words fail the base rules; a null
-or unseen stratum value is judged by cutoffs learned on all strata together;
-without labels no cutoff can be guaranteed, so only the base rules reject;
-repeated rows come back once each; extra columns are ignored.
+cutoffs of a stratum are chosen on its labelled documents, in two parts.  On a
+quarter of them (by a hash of the id) a path of settings is laid, from no
+cutoff to ever stricter ones: each step makes one rule stricter, the one that
+gains the most bad documents for each good one lost, and the path ends where no
+step gains more of the bad than of the good.  The other three quarters hold the
+settings to account: a setting is safe if the exact (Clopper-Pearson) upper
+bound on the share of good documents that all its rules together reject is at
+most ``risk``.  Settings are tested in the path's order until the first that
+fails (fixed-sequence testing, which needs no further correction along the
+path), and the last safe one is taken.  The error probability ``delta`` is
+divided by the number of strata, so with probability 1 - delta no stratum
+loses more than ``risk`` of its good documents.
+
+Scale: labelled documents are counted by stratum and, for each rule, the first
+candidate cutoff that rejects them; these counts are bounded by the grid, and
+each stratum's choice is made by a task of its own.  The cutoffs are a table of
+one row a stratum that documents are joined to, however many strata there are.
+Statistics of a text are taken by one pass over the whole text in Python, one
+document at a time.
+
+Defined results: null text has no words; no words fail the base rules; null is
+a stratum like any other; in a stratum without labels, or with too few to
+guarantee anything, only the base rules reject; a document labelled both good
+and bad counts as both; repeated rows come back once each; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +53,8 @@ GRID = {
 }
 MIN_WORDS, MAX_REPEATS = 50, 50
 RISK, DELTA = 0.05, 0.05
+#: One of so many labelled documents lays the path; the others test it.
+FOLDS = 4
 SYMBOLS = b"#*$%&|<>"
 STATISTICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 
@@ -98,18 +105,26 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
     )
 
 
+def tail(rejected: int, good: int, share: float) -> float:
+    """The probability of at most so many rejections among good documents, each rejected with probability share."""
+    if rejected >= good or share <= 0:
+        return 1.0
+    if share >= 1:
+        return 0.0
+    k = np.arange(1, rejected + 1)
+    logs = good * np.log1p(-share) + np.concatenate([[0.0], np.cumsum(np.log((good - k + 1) / k) + np.log(share) - np.log1p(-share))])
+    top = logs.max()
+    return float(np.exp(top) * np.exp(logs - top).sum())
+
+
 def upper_bound(rejected: int, good: int, delta: float) -> float:
-    """The exact one-sided upper confidence bound of a binomial share: the p at which so few rejections have probability delta."""
+    """The exact one-sided upper confidence bound of a binomial share: the share at which so few rejections have probability delta."""
     if rejected >= good:
         return 1.0
     low, high = rejected / good, 1.0
-    logs = [math.lgamma(good + 1) - math.lgamma(k + 1) - math.lgamma(good - k + 1) for k in range(rejected + 1)]
     for _ in range(60):
-        p = (low + high) / 2
-        terms = [c + k * math.log(p) + (good - k) * math.log1p(-p) for k, c in enumerate(logs)]
-        top = max(terms)
-        tail = top + math.log(sum(math.exp(t - top) for t in terms))
-        low, high = (p, high) if tail > math.log(delta) else (low, p)
+        share = (low + high) / 2
+        low, high = (share, high) if tail(rejected, good, share) > delta else (low, share)
     return high
 
 
@@ -117,53 +132,67 @@ def rejects(rule: str, cutoff: float | F.Column) -> F.Column:
     return F.col(rule) > cutoff if RULES[rule] else F.col(rule) < cutoff
 
 
-def cutoffs(measures: DataFrame, labels: DataFrame, label_col: str = "quality", risk: float = RISK, delta: float = DELTA) -> dict[str | None, dict[str, float]]:
-    """The chosen cutoffs by stratum; under None those of all strata together. Rules without a safe cutoff are left out."""
+def path(first: np.ndarray, weight: np.ndarray, bad: np.ndarray) -> list[tuple[int, ...]]:
+    """Settings (for each rule, how many of its candidates reject) from lenient to strict. first: of each kind of document, the first rejecting candidate by rule."""
+    sizes = [len(g) for g in GRID.values()]
+    n_bad, n_good = max(weight[bad].sum(), 1), max(weight[~bad].sum(), 1)
+    now, left, out = [0] * len(sizes), np.ones(len(weight), bool), []
+    while True:
+        best = None
+        for r, size in enumerate(sizes):
+            for upto in range(now[r] + 1, size + 1):
+                hit = left & (first[:, r] < upto)
+                lost, won = weight[hit & ~bad].sum(), weight[hit & bad].sum()
+                if won / n_bad > lost / n_good:
+                    step = (won / (lost + 1), -upto, -r)
+                    if best is None or step > best[0]:
+                        best = step, r, upto, hit
+        if best is None:
+            return out
+        now[best[1]] = best[2]
+        left &= ~best[3]
+        out.append(tuple(now))
+
+
+def chosen(counts: pd.DataFrame, risk: float, delta: float) -> tuple[int, ...]:
+    """The last safe setting of a stratum. counts: rows (good, fold, a first rejecting candidate for each rule, n)."""
+    first, n = counts[list(GRID)].to_numpy(np.int64).reshape(len(counts), len(GRID)), counts["n"].to_numpy(np.int64)
+    good, laying = counts["good"].to_numpy() == 1, counts["fold"].to_numpy() == 0
+    safe = (0,) * len(GRID)
+    held, each = first[good & ~laying], n[good & ~laying]
+    for setting in path(first[laying], n[laying], ~good[laying]):
+        lost = int(each[(held < np.array(setting)).any(axis=1)].sum())
+        if not len(each) or tail(lost, int(each.sum()), risk) > delta:
+            break
+        safe = setting
+    return safe
+
+
+def cutoffs(measures: DataFrame, labels: DataFrame, label_col: str = "quality", risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """(stratum, a cutoff for each rule): null where a rule rejects nothing; a row for each stratum with labels."""
     truth = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("good")).where("doc_id is not null and good is not null").distinct()
     # Base failures are rejected whatever the cutoffs are; the rules are judged on the others.
     held = measures.where("not base_failed").join(truth, "doc_id")
-    tests = [F.count(F.when(F.col("good") == g, 1)).alias(str(g)) for g in (0, 1)]
-    tests += [F.count(F.when((F.col("good") == g) & rejects(r, c), 1)).alias(f"{r}:{i}:{g}") for r, grid in GRID.items() for i, c in enumerate(grid) for g in (0, 1)]
-    counted = staged(held.groupBy("stratum").agg(*tests))
-    rows = counted.orderBy(F.desc("1"), "stratum").limit(MAX_STRATA).collect()  # a row for each stratum
-    total = counted.agg(*[F.coalesce(F.sum(F.col(f"`{c}`")), F.lit(0)).alias(c) for c in counted.columns[1:]]).first()
-    found: dict[str | None, dict[str, float]] = {}
-    each = delta / (len(RULES) * (len(rows) + 1))
-    for row in [*rows, total]:
-        own: dict[str, float] = {}
-        for rule, grid in GRID.items():
-            most = 0.0
-            for i, cutoff in enumerate(grid):
-                good, bad = (row[f"{rule}:{i}:{g}"] for g in (1, 0))
-                if not row["1"] or upper_bound(good, row["1"], each) > risk / len(RULES):
-                    break
-                gain = bad / max(row["0"], 1) - good / row["1"]
-                if gain > most:
-                    most, own[rule] = gain, cutoff
-        if row is total:
-            found[None] = own
-        elif row["stratum"] is not None:
-            found[row["stratum"]] = own
-    return found
-
-
-#: Strata with cutoffs of their own, those with the most labelled rows first; the others share the pooled ones.
-MAX_STRATA = 256
+    first = [sum((F.when(rejects(r, c), 0).otherwise(1) for c in grid), F.lit(0)).alias(r) for r, grid in GRID.items()]
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    counted = staged(held.select("stratum", "good", fold, *first).groupBy("stratum", "good", "fold", *GRID).agg(F.count("*").alias("n")))
+    each = delta / max(counted.select("stratum").distinct().count(), 1)
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        setting = chosen(rows, risk, each)
+        own = {r: [grid[k - 1] if k else None] for k, (r, grid) in zip(setting, GRID.items(), strict=True)}
+        return pd.DataFrame({"stratum": [rows["stratum"].iloc[0]], **own}).astype(dict.fromkeys(GRID, float))
+
+    return staged(counted.groupBy("stratum").applyInPandas(choose, "stratum string, " + ", ".join(f"{r} double" for r in GRID)))
 
 
 def judged(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """(doc_id, statistics, base_failed, kept, failed_rules) of every row of docs."""
     measures = staged(measured(docs, stratum_col=stratum_col))
-    chosen = cutoffs(measures, labels, risk=risk, delta=delta)
-    failed = []
-    for rule in RULES:
-        cutoff = F.lit(chosen[None].get(rule)).cast("double")
-        for stratum, own in chosen.items():
-            if stratum is not None:
-                cutoff = F.when(F.col("stratum") == stratum, F.lit(own.get(rule)).cast("double")).otherwise(cutoff)
-        failed.append(F.when(rejects(rule, cutoff), F.lit(rule)))
-    rules = F.filter(F.array(*failed), lambda r: r.isNotNull())
-    return measures.withColumn("failed_rules", rules).select(
+    own = cutoffs(measures, labels, risk=risk, delta=delta).select(F.col("stratum").alias("_stratum"), *[F.col(r).alias(f"{r}_cutoff") for r in RULES])
+    joined = measures.join(own, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
+    rules = F.filter(F.array(*[F.when(rejects(r, F.col(f"{r}_cutoff")), F.lit(r)) for r in RULES]), lambda r: r.isNotNull())
+    return joined.withColumn("failed_rules", rules).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"), "failed_rules",
     )
