@@ -16,8 +16,8 @@ def test_folding(text, words):
 
 
 def test_matching_by_word_beginning_with_exceptions():
-    own = Matcher(Lexicon({"trash": 2.0, "tras": 1.0, "idiot": 3.0}, frozenset({"trash can"}), 0.1))
-    assert own.hits(folded("trashy trash can an idiot, mytrash")) == {0: 2.0, 20: 3.0}
+    own = Matcher(Lexicon({"trash": (2.0, 3.0), "tras": (1.0, 1.0), "idiot": (3.0, 3.0)}, frozenset({"trash can"}), 0.1))
+    assert own.hits(folded("trashy trash can an idiot, mytrash")) == {0: "trash", 20: "idiot"}
     assert own.score(None) == own.score("") == own.score("fine words") == 0.0
     assert own.score("idiot") > 0.5 > own.score("idiot " + "word " * 100_000)
     assert Matcher(Lexicon()).score("idiot") == 0.0

@@ -4,18 +4,21 @@ Folding lower-cases, turns look-alike letters of other scripts into Latin
 ones, digits and signs that stand for letters into these (i, l, 1 and | are one
 class), drops invisible characters, and leaves words joined by single spaces.
 Lexicon entries are word beginnings (whole words included), so inflected forms
-are found; for each word the heaviest entry counts.  Exception phrases (a
-lexicon word with a neighbour) cancel the hits that they cover.  The sum of
-weights is divided by the square root of the length in words (plus 20), and
-score = raw / (raw + threshold), so 0.5 is the learned threshold.
+are found; for each word the heaviest entry counts.  An entry has two weights,
+for texts that have it once and for texts that have it more often, as some words
+only tell when they are repeated.  Exception phrases (a lexicon word with a
+neighbour) cancel the hits that they cover.  The sum of weights is divided by
+the square root of the length in words (plus 20), and score = raw / (raw +
+threshold), so 0.5 is the learned threshold.
 
 Entries, weights, exceptions and threshold are learned from labelled rows: at
 most ``MAX_TOXIC`` and ``MAX_CLEAN`` of them (those least by a hash of the id,
 equal texts once), a documented bound, so what reaches the driver is bounded
-too.  Candidates need a significant association (G² of at least ``MIN_G2``);
-of these a greedy cover of the toxic rows is taken, so a word that only
-accompanies lexicon words, as in a group of copies, is not taken.  Scoring
-covers every row and every whole text.
+too.  Candidates need a significant association (G² of at least ``MIN_G2``, for
+once or for more often); the ``MAX_CANDIDATES`` strongest are looked at, a bound of
+the model's size like ``MAX_EXCEPTIONS``, the number of phrases.  Of these a greedy cover of the
+toxic rows is taken, so a word that only accompanies lexicon words, as in a group of
+copies, is not taken.  Scoring covers every row and every whole text.
 
 Defined results: null and empty texts score 0; without toxic labels all score
 0; repeated rows come back once each, a doc_id with both labels counts as
@@ -39,7 +42,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import staged
 
 MAX_TOXIC, MAX_CLEAN, MAX_CANDIDATES, MAX_EXCEPTIONS = 3_000, 9_000, 3_000, 1_000
-MIN_G2, MIN_RATIO, MIN_ROWS, PREFIXES = 30.0, 3, 3, range(4, 9)
+MIN_G2, MIN_RATIO, MIN_ROWS, PREFIXES, LONGEST = 30.0, 3, 3, range(4, 9), 30
+#: What marks an entry that a text has more than once.
+AGAIN = " 2"
 COMPANY, HELD_ENTRIES = 0.6, 100_000
 
 # Characters that look like a Latin letter.
@@ -69,7 +74,7 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass(frozen=True)
 class Lexicon:
-    weights: dict[str, float] = field(default_factory=dict)  # word beginnings
+    weights: dict[str, tuple[float, float]] = field(default_factory=dict)  # of word beginnings: once, more often
     exceptions: frozenset[str] = frozenset()  # two words
     threshold: float = 1.0
 
@@ -77,32 +82,34 @@ class Lexicon:
 class Matcher:
     def __init__(self, lexicon: Lexicon):
         self.automaton = ahocorasick.Automaton()
-        for entry, weight in lexicon.weights.items():
-            self.automaton.add_word(" " + entry, (len(entry), weight))
+        self.weights = lexicon.weights
+        for entry, weights in lexicon.weights.items():
+            self.automaton.add_word(" " + entry, (len(entry), max(weights), entry))
         for phrase in lexicon.exceptions:
-            self.automaton.add_word(f" {phrase} ", (len(phrase) + 1, 0.0))
+            self.automaton.add_word(f" {phrase} ", (len(phrase) + 1, 0.0, ""))
         self.threshold = lexicon.threshold
         if lexicon.weights:
             self.automaton.make_automaton()
 
-    def hits(self, words: list[str]) -> dict[int, float]:
-        """Weight by the place of a word in the words joined by spaces."""
-        found: dict[int, float] = {}
+    def hits(self, words: list[str]) -> dict[int, str]:
+        """The heaviest entry by the place of a word in the words joined by spaces."""
+        found: dict[int, tuple[float, str]] = {}
         spared: list[tuple[int, int]] = []
         if len(self.automaton):
-            for end, (n, weight) in self.automaton.iter(f" {' '.join(words)} "):
-                if weight:
-                    found[end - n] = max(found.get(end - n, 0.0), weight)
+            for end, (n, weight, entry) in self.automaton.iter(f" {' '.join(words)} "):
+                if entry:
+                    found[end - n] = max(found.get(end - n, (0.0, "")), (weight, entry))
                 else:
                     spared.append((end - n, end))
         for start, end in spared:
             for place in [p for p in found if start <= p < end]:
                 del found[place]
-        return found
+        return {place: entry for place, (_, entry) in found.items()}
 
     def raw(self, text: str | None) -> float:
         words = folded(text)
-        return math.fsum(self.hits(words).values()) / math.sqrt(20 + len(words))
+        counts = Counter(self.hits(words).values())
+        return math.fsum(self.weights[e][0] if n == 1 else self.weights[e][1] * math.sqrt(n / 2) for e, n in counts.items()) / math.sqrt(20 + len(words))
 
     def score(self, text: str | None) -> float:
         raw = self.raw(text)
@@ -119,9 +126,15 @@ def matcher(lexicon: Lexicon) -> Matcher:
 
 
 def features(words: list[str]) -> set[str]:
-    """The beginnings that a text could have lexicon entries for."""
-    own = {w for w in words if 3 <= len(w) <= 30 and not w.isdigit()}
-    return own | {w[:n] for w in own for n in PREFIXES if len(w) > n}
+    """The beginnings that a text could have lexicon entries for, and, marked, those that it has more than once."""
+    counts: Counter[str] = Counter()
+    for word, n in Counter(words).items():
+        if len(word) >= 3 and not word.isdigit():
+            for k in PREFIXES:
+                if k < len(word):
+                    counts[word[:k]] += n
+            counts[word[:LONGEST]] += n
+    return counts.keys() | {e + AGAIN for e, n in counts.items() if n > 1}
 
 
 def association(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float:
@@ -174,12 +187,20 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     all_toxic, all_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not all_toxic or not all_clean:
         return Lexicon()
-    totals = rows.mapInArrow(counted, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    totals = staged(rows.mapInArrow(counted, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
     likely = totals.where((F.col("toxic") >= MIN_ROWS) & (F.col("toxic") * all_clean > MIN_RATIO * F.col("clean") * all_toxic))
     found = likely.orderBy(F.desc(F.col("toxic") - F.col("clean") * (all_toxic / all_clean)), "entry").limit(4 * MAX_CANDIDATES).collect()
-    rated = {r.entry: (association(r.toxic, r.clean, all_toxic, all_clean), r.clean) for r in found}
-    names = sorted((e for e, (g, _) in rated.items() if g >= MIN_G2), key=lambda e: (-rated[e][0], e))[:MAX_CANDIDATES]
-    weights = cover(rows.where("toxic = 1"), {e: rated[e][1] for e in names}, all_toxic, all_clean)
+    rated = {r.entry: (association(r.toxic, r.clean, all_toxic, all_clean), r.toxic, r.clean) for r in found}
+    names = sorted((e for e, (g, _, _) in rated.items() if g >= MIN_G2), key=lambda e: (-rated[e][0], e))[:MAX_CANDIDATES]
+    taken = cover(rows.where("toxic = 1"), {e: rated[e][2] for e in names}, all_toxic, all_clean)
+    bases = sorted({e.removesuffix(AGAIN) for e in taken})
+    counts = {r.entry: (r.toxic, r.clean) for r in totals.where(F.col("entry").isin([b + k for b in bases for k in ("", AGAIN)])).collect()} if bases else {}
+    weights = {}
+    for base in bases:
+        some, more = counts[base], counts.get(base + AGAIN, (0, 0))
+        both = tuple(max(0.0, log_odds(*n, all_toxic, all_clean)) for n in ((some[0] - more[0], some[1] - more[1]), more))
+        if any(both):
+            weights[base] = both
     if not weights:
         return Lexicon()
     exceptions = phrases(rows, weights)
@@ -194,8 +215,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     return Lexicon(weights, exceptions, threshold([(r.raw, r.toxic) for r in measured]))
 
 
-def cover(toxic: DataFrame, clean: dict[str, int], all_toxic: int, all_clean: int) -> dict[str, float]:
-    """Weights of a greedy cover of the toxic rows (a bounded sample) by entries, heaviest gain first, longest on ties."""
+def cover(toxic: DataFrame, clean: dict[str, int], all_toxic: int, all_clean: int) -> list[str]:
+    """A greedy cover of the toxic rows (a bounded sample) by entries, heaviest gain first, longest on ties."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,14 +243,15 @@ def cover(toxic: DataFrame, clean: dict[str, int], all_toxic: int, all_clean: in
                 left[e] -= 1
     # Entries about as frequent as one taken that they often accompany are lexicon words as well.
     for e in sorted(holders, key=lambda e: (-len(holders[e]) * weights[e], -len(e), e)):
-        if taken and not any(e.startswith(t) or t.startswith(e) for t in taken):
+        own = e.removesuffix(AGAIN)
+        if taken and not any(own.startswith(t.removesuffix(AGAIN)) or t.startswith(own) for t in taken):
             t = max(taken, key=lambda t: len(holders[t] & holders[e]))
             if len(holders[e]) * weights[e] >= COMPANY * len(holders[t]) * weights[t]:
                 taken.append(e)
-    return {e: weights[e] for e in taken}
+    return taken
 
 
-def phrases(rows: DataFrame, weights: dict[str, float]) -> frozenset[str]:
+def phrases(rows: DataFrame, weights: dict[str, tuple[float, float]]) -> frozenset[str]:
     """Pairs of words, one of them a hit, that are (nearly) only seen in clean rows."""
     plain = Lexicon(weights)
 
