@@ -108,8 +108,8 @@ def window_hashes(hashes: Column, size: int) -> Column:
     def windows(own: Column) -> Column:
         if not size:
             return F.array(F.xxhash64(own))
-        starts = F.when(F.size(own) >= size, F.sequence(F.lit(1), F.size(own) - size + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.xxhash64(F.slice(own, i, size)))
+        starts = F.when(F.size(own) >= size, F.sequence(F.lit(0), F.size(own) - size)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(*[F.get(own, i + k) for k in range(size)]))
 
     return once(hashes, windows)
 
