@@ -6,8 +6,8 @@ from tidemark.functions.lsn import to_lsn
 from tidemark.plans.spec import ColumnSpec, TableSpec
 from tidemark.sources import frames
 from tidemark.sources.base import build_source, check_floor, identifier
-from tidemark.sources.frames import CapturedTable, FrameSource, nth_key
-from tidemark.sources.jdbc import JdbcSource, event_query, key_range_query, table_query
+from tidemark.sources.frames import CapturedTable, FrameSource, page_end
+from tidemark.sources.jdbc import JdbcSource, column_text, event_query, key_predicates, key_range_query, table_query, window_predicates
 
 COLUMNS = [ColumnSpec("tenant_id", "int"), ColumnSpec("item_id", "int"), ColumnSpec("label", "nvarchar", 0, 0, "x")]
 SPEC = TableSpec("dbo", "pages", ["tenant_id", "item_id"], COLUMNS, COLUMNS, "dbo_pages")
@@ -17,7 +17,7 @@ SPEC = TableSpec("dbo", "pages", ["tenant_id", "item_id"], COLUMNS, COLUMNS, "db
 
 
 def test_page_text():
-    assert table_query(SPEC) == "SELECT [tenant_id], [item_id], NULL AS [label] FROM [dbo].[pages] ORDER BY [tenant_id], [item_id]"
+    assert table_query(SPEC) == "SELECT [tenant_id], [item_id], CAST(NULL AS nvarchar(max)) AS [label] FROM [dbo].[pages] ORDER BY [tenant_id], [item_id]"
     assert table_query(SPEC, 3, 9, 5).endswith("WHERE [tenant_id] >= 3 AND [tenant_id] < 9 ORDER BY [tenant_id], [item_id] OFFSET 0 ROWS FETCH NEXT 5 ROWS ONLY")
     assert table_query(SPEC, limit=5, pagination="top").startswith("SELECT TOP (5) [tenant_id]")
     assert "WHERE [tenant_id] < 9 ORDER" in table_query(SPEC, end_pk=9)
@@ -150,15 +150,59 @@ def test_barrier(src, spark):
     src.await_watermark(mark)
 
 
-def test_nth_key(spark):
+def test_page_end(spark):
     keys = spark.createDataFrame([(k,) for k in [-(1 << 62), -5, 0, 0, 3, 1 << 40, (1 << 62)]], "k long")
-    assert [nth_key(keys, "k", n) for n in (1, 4, 7, 8)] == [-(1 << 62), 0, 1 << 62, None]
+    assert [page_end(keys, "k", n) for n in (1, 3, 4, 7, 8)] == [(-(1 << 62), 1), (0, 1), (0, 2), (1 << 62, 1), None]
 
 
-def test_large_pages_are_the_same(spark, src, monkeypatch):
+def test_large_pages_are_the_same(spark, monkeypatch):
     monkeypatch.setattr(frames, "SORTED_PAGE", 2)
     rows = spark.range(0, 100, 7).select("id")
     columns = [ColumnSpec("id", "bigint")]
     spec = TableSpec("s", "t", ["id"], columns, columns)
     assert [r.id for r in frames.page(rows, spec, 10, None, 5).collect()] == [14, 21, 28, 35, 42]
     assert [r.id for r in frames.page(rows, spec, 80, None, 5).collect()] == [84, 91, 98]
+    both = [ColumnSpec("a", "bigint"), ColumnSpec("b", "bigint")]
+    pairs = spark.range(60).selectExpr("id div 20 AS a", "id % 20 AS b")
+    for n in (3, 20, 33, 60, 99):  # the leading key repeats
+        found = frames.page(pairs, TableSpec("s", "t", ["a", "b"], both, both), None, None, n).collect()
+        assert [tuple(r) for r in found] == [(i // 20, i % 20) for i in range(min(n, 60))]
+
+
+def test_a_limit_is_kept_where_the_leading_key_repeats(spark):
+    both = [ColumnSpec("a", "bigint"), ColumnSpec("b", "bigint")]
+    pairs = spark.range(250_000).selectExpr("id div 2 AS a", "id AS b")
+    spec = TableSpec("s", "t", ["a", "b"], both, both)
+    for n in (100_000, 100_001):
+        assert frames.page(pairs, spec, None, None, n).count() == n
+
+
+def test_large_pages_of_a_source_share_one_count_of_keys(spark, monkeypatch):
+    monkeypatch.setattr(frames, "SORTED_PAGE", 2)
+    monkeypatch.setattr(frames, "BINS", 4)
+    held = {"rows": spark.range(0, 200, 3).select("id")}
+    table = CapturedTable(held["rows"], ["id"])
+    src = FrameSource(spark, {"s.t": table})
+    spec = src.inspect("s", "t")
+    read = lambda start, n, end=None: [r.id for r in src.read_table(spec, start, end, n).collect()]
+    assert read(None, 5) == [0, 3, 6, 9, 12] and read(13, 60) == list(range(15, 195, 3)) and read(150, 30) == list(range(150, 200, 3)) and read(10, 9, 20) == [12, 15, 18]
+    table.rows = table.rows.where("id < 40 OR id > 180")  # rows have gone since the count
+    assert read(30, 10) == [30, 33, 36, 39, 183, 186, 189, 192, 195, 198]
+
+
+def test_text_of_types():
+    of = lambda *a, **k: column_text(ColumnSpec("c", *a), **k)
+    assert of("int") == "[c]" and of("date", computed=True) == "CAST(NULL AS date) AS [c]" and of("decimal", 10, 2, computed=True) == "CAST(NULL AS decimal(10,2)) AS [c]"
+    assert of("bit", computed=True) == "CAST(NULL AS bit) AS [c]" and of("image", computed=True) == "CAST(NULL AS varbinary(max)) AS [c]" and of("datetime2", 0, 3, computed=True) == "CAST(NULL AS datetime2(3)) AS [c]"
+    assert of("time", 0, 7).startswith("DATEDIFF_BIG(NANOSECOND") and of("time", 0, 7, computed=True) == "CAST(NULL AS bigint) AS [c]"
+    assert of("datetime2", 0, 6) == "[c]" and "% 1000 <> 0" in of("datetime2", 0, 7)
+
+
+def test_reading_in_parts(spark):
+    assert key_predicates(SPEC, 1, 10, 3) == ["[tenant_id] >= 1 AND [tenant_id] < 5", "[tenant_id] >= 5 AND [tenant_id] < 9", "[tenant_id] >= 9 AND [tenant_id] < 11"]
+    assert window_predicates(to_lsn(1), to_lsn(3), 2) == [f"[start_lsn] >= 0x{a:020x} AND [start_lsn] <= 0x{b:020x}" for a, b in ((1, 2), (3, 3))]
+    own = JdbcSource(spark, "jdbc:x", partitions=2)
+    own.read_pk_range = lambda spec: (1, 9)
+    assert own._key_ranges(SPEC, None, None) == ["[tenant_id] < 6", "[tenant_id] >= 6"] and own._key_ranges(SPEC, 20, None) == []
+    with pytest.raises(ValueError, match="partitions"):
+        JdbcSource(spark, "jdbc:x", partitions=0)

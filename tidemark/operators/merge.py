@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import logging
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -12,8 +11,6 @@ from tidemark.plans.spec import TableSpec
 from tidemark.sources.base import ChangeSource
 from tidemark.sources.frames import DUMP
 
-logger = logging.getLogger(__name__)
-
 
 def superseded_keys(chunk: DataFrame, window: DataFrame, spec: TableSpec) -> DataFrame:
     """Distinct whole keys that both have."""
@@ -22,17 +19,15 @@ def superseded_keys(chunk: DataFrame, window: DataFrame, spec: TableSpec) -> Dat
 
 
 def supersede(chunk: DataFrame, window: DataFrame | None, spec: TableSpec) -> DataFrame:
-    """The chunk without rows whose whole key the window carries, in key order; the chunk itself if there are none.
+    """The chunk without rows whose whole key the window carries; rows without a key value are kept.
 
-    The side joined is keys only; Spark decides from its size at run time whether to broadcast it.
+    One join; the side joined is keys only, and Spark decides from its size at
+    run time whether to broadcast it.
     """
     if window is None:
         return chunk
     keys = list(spec.pk_columns)
-    if superseded_keys(chunk, window, spec).isEmpty():
-        logger.debug("merged chunk: no row is superseded by the window")
-        return chunk
-    return chunk.join(window.select(*keys).distinct(), keys, "left_anti").select(*chunk.columns).orderBy(*keys)
+    return chunk.join(window.select(*keys).distinct(), keys, "left_anti").select(*chunk.columns)
 
 
 def merge_order(spec: TableSpec) -> list:

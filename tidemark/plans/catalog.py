@@ -13,14 +13,14 @@ from pyspark.sql import types as T
 from tidemark.functions.lsn import lsn_column, mask_width, successor, to_lsn
 from tidemark.functions.pinned import shared_dir
 from tidemark.operators.merge import superseded_keys, supersede
-from tidemark.operators.run import CdcRetentionExpiredError, batches, capture_batch, drift, state_at_lsn
+from tidemark.operators.run import CdcRetentionExpiredError, batches, capture_batch, state_at_lsn
 from tidemark.operators.views import latest_image, recompute
 from tidemark.plans import world
 from tidemark.plans.schema import conform, event_schema, logical_type, row_schema
 from tidemark.plans.spec import ColumnSpec, TableSpec
 from tidemark.plans.state import BatchResult
 from tidemark.plans.world import KEY, SCHEMA, TABLE, shown
-from tidemark.sources.frames import FrameSource, columns_of, nth_key, page
+from tidemark.sources.frames import FrameSource, columns_of, page, page_end
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -82,7 +82,7 @@ def composite_key_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT (SELECT l_orderkey FROM lineitem ORDER BY 1 OFFSET 999 LIMIT 1) AS key, (SELECT o_orderkey FROM orders ORDER BY 1 OFFSET 1233 LIMIT 1) AS order_key")
 def page_end_by_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a large page ends, found without sorting it."""
-    found = nth_key(world.read(spark, sf_dir, "lineitem"), "l_orderkey", 1000), nth_key(world.read(spark, sf_dir, "orders"), "o_orderkey", 1234)
+    found = page_end(world.read(spark, sf_dir, "lineitem"), "l_orderkey", 1000)[0], page_end(world.read(spark, sf_dir, "orders"), "o_orderkey", 1234)[0]
     return spark.createDataFrame([found], "key long, order_key long")
 
 

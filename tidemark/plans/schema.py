@@ -77,7 +77,7 @@ def validate(spec: TableSpec) -> None:
             raise ValueError(f"{where}: captured column {name!r} is no longer in the table")
         was, now = logical_type(column), logical_type(source[name])
         if was != now:
-            raise ValueError(f"{where}: column {name!r} is captured as {column.signature} but is {source[name].signature} in the table")
+            raise ValueError(f"{where}: column {name!r} is captured as ({column}) but is ({source[name]}) in the table")
     for name in spec.pk_columns:
         if name not in captured:
             raise ValueError(f"{where}: key column {name!r} is not captured")

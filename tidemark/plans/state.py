@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, replace
+from dataclasses import dataclass, replace
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 
+from tidemark.functions.pinned import release
 from tidemark.plans.spec import ColumnSpec, TableSpec
 
 
@@ -29,7 +30,9 @@ class RunState:
         return replace(self, **changes)
 
     def to_json(self) -> str:
-        plain = asdict(self) | {"last_lsn": self.last_lsn.hex(), "last_inspect": self.last_inspect.isoformat()}
+        spec = {k: getattr(self.spec, k) for k in ("source_schema", "source_table", "pk_columns", "capture_instance")}
+        spec |= {k: [c.plain() for c in getattr(self.spec, k)] for k in ("columns", "captured_columns")}
+        plain = {"spec": spec, "last_lsn": self.last_lsn.hex(), "last_inspect": self.last_inspect.isoformat(), "chunk_key": self.chunk_key, "dump_done": self.dump_done}
         return json.dumps(plain, sort_keys=True)
 
     @classmethod
@@ -44,7 +47,13 @@ class RunState:
 
 @dataclass(frozen=True, eq=False)
 class BatchResult:
-    """One unit of work: its frame (None: nothing now) and the state to go on from."""
+    """One unit of work: its frame (None: nothing now) and the state to go on from. pins: the folders that the frame is read from."""
 
     frame: DataFrame | None
     state: RunState
+    pins: tuple[str, ...] = ()
+
+    def release(self) -> None:
+        """Removes what the frame is read from; for when the frame has been written, or is not needed."""
+        if self.frame is not None:
+            release(self.frame.sparkSession, self.pins)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.lsn import ZERO, binary, mask_width, successor
+from tidemark.functions.pinned import pinned
 from tidemark.plans.schema import conform, event_schema, row_schema, validate
 from tidemark.plans.spec import ColumnSpec, TableSpec
 from tidemark.sources.base import check_floor, check_page, check_spec, identifier, register_source
@@ -26,7 +27,7 @@ logger = logging.getLogger(__name__)
 
 DUMP, DELETE, INSERT, BEFORE, AFTER = range(5)
 LOG_COLUMNS = {"__$start_lsn": "start_lsn", "__$seqval": "seqval", "__$operation": "operation", "__$update_mask": "update_mask"}
-#: Pages larger than this are found by their last key, without sorting them in one task.
+#: Pages larger than this are bounded by counting keys, without sorting them in one task.
 SORTED_PAGE = 100_000
 BINS = 4096
 
@@ -84,6 +85,7 @@ class FrameSource:
         self.spark, self.tables, self.lsn_times, self.max_lsn = spark, dict(tables), lsn_times, max_lsn
         self.clock, self.sessions, self.timeout, self.poll = clock, sessions, watermark_timeout, watermark_poll
         self.connected = False
+        self._bins: dict[str, tuple[int, int, list[tuple[int, int]]]] = {}
 
     def connect(self) -> Self:
         self.connected = True
@@ -185,6 +187,7 @@ class FrameSource:
             events = events.drop("commit_timestamp").join(self.lsn_times.select("start_lsn", "commit_timestamp"), "start_lsn", "left")
         schema = event_schema(spec)
         events = conform(events.select(*[F.col(f"`{n}`") for n in schema.names]), schema, f"log of {spec.qualified_name}")
+        events = pinned(events)  # read once; what follows reads the copy
         return None if events.isEmpty() else events.orderBy("start_lsn", "seqval", "operation")
 
     def to_events(self, rows: DataFrame, spec: TableSpec, commit_timestamp: datetime | None) -> DataFrame:
@@ -194,7 +197,29 @@ class FrameSource:
         check_spec(spec)
         check_page(start_pk, end_pk, limit)
         rows = self._table(spec.source_schema, spec.source_table).rows
-        return conform(page(rows, spec, start_pk, end_pk, limit), row_schema(spec), f"rows of {spec.qualified_name}")
+        found = page(rows, spec, start_pk, self._upto(spec, rows, start_pk, end_pk, limit), limit)
+        return conform(found, row_schema(spec), f"rows of {spec.qualified_name}")
+
+    def _upto(self, spec: TableSpec, rows: DataFrame, start_pk: int | None, end_pk: int | None, limit: int) -> int | None:
+        """A key before which a large page ends, from one count of all keys that all pages share, so that a page's end is looked for in its own key range."""
+        lead = spec.pk_columns[0]
+        if limit <= SORTED_PAGE or not whole_number(rows, lead):
+            return end_pk
+        if spec.qualified_name not in self._bins:
+            low, high = rows.agg(F.min(lead), F.max(lead)).first()
+            self._bins[spec.qualified_name] = (0, 1, []) if low is None else (low, *bins(rows.select(lead), lead, low, high))
+        low, width, counts = self._bins[spec.qualified_name]
+        seen = 0
+        for at, count in counts:
+            if start_pk is None or low + at * width >= start_pk:  # whole bins of the page
+                seen += count
+                if seen >= limit:
+                    upto = low + (at + 1) * width
+                    upto = upto if end_pk is None else min(upto, end_pk)
+                    # The table may have lost rows since they were counted.
+                    enough = rows.where(key_range(F.col(lead), start_pk, upto)).count() >= limit
+                    return upto if enough else end_pk
+        return end_pk
 
     def read_pk_range(self, spec: TableSpec) -> tuple[int, int] | None:
         check_spec(spec)
@@ -215,38 +240,54 @@ def key_range(lead: Column, start_pk: int | None, end_pk: int | None) -> Column:
     return out
 
 
-def nth_key(keys: DataFrame, key: str, n: int) -> int | None:
-    """The n-th least of integer keys, or None if there are fewer, by counting in ever finer bins; no task holds the keys."""
+def whole_number(rows: DataFrame, column: str) -> bool:
+    return isinstance(rows.schema[column].dataType, T.IntegralType)
+
+
+def bins(keys: DataFrame, key: str, low: int, high: int) -> tuple[int, list[tuple[int, int]]]:
+    """A bin's width, and the counts of at most BINS bins of integer keys from low to high, as (bin, count), in order."""
+    width = -(-(high - low + 1) // BINS)
+    part = keys.where((F.col(key) >= low) & (F.col(key) <= high))
+    place = F.expr(f"(cast(`{key}` AS decimal(38, 0)) - cast({low} AS decimal(38, 0))) div cast({width} AS decimal(38, 0))")
+    return width, [tuple(r) for r in part.groupBy(place.alias("bin")).count().orderBy("bin").collect()]
+
+
+def page_end(keys: DataFrame, key: str, n: int) -> tuple[int, int] | None:
+    """The n-th least of integer keys, and how many rows of that key are among the n; None if there are fewer.
+
+    Found by counting in ever finer bins; no task holds the keys.
+    """
     low, high, total = keys.agg(F.min(key), F.max(key), F.count(key)).first()
     if total < n:
         return None
     while low < high:
-        width = -(-(high - low + 1) // BINS)
-        part = keys.where((F.col(key) >= low) & (F.col(key) <= high))
-        place = F.expr(f"(cast(`{key}` AS decimal(38, 0)) - cast({low} AS decimal(38, 0))) div cast({width} AS decimal(38, 0))")
-        counts = part.groupBy(place.alias("bin")).count().orderBy("bin").collect()  # at most BINS rows
-        for row in counts:
-            if n <= row["count"]:
-                low, high = low + row["bin"] * width, min(high, low + (row["bin"] + 1) * width - 1)
+        width, counts = bins(keys, key, low, high)
+        for at, count in counts:
+            if n <= count:
+                low, high = low + at * width, min(high, low + (at + 1) * width - 1)
                 break
-            n -= row["count"]
+            n -= count
         else:
             raise RuntimeError(f"keys of {key!r} changed while they were counted")
-    return low
+    return low, n
+
+
+def first_rows(rows: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """The n least rows by their keys, not in order; many are bounded key column by key column, without sorting them in one task."""
+    if n <= SORTED_PAGE or not whole_number(rows, keys[0]):
+        return rows.orderBy(*keys).limit(n)
+    end = page_end(rows.select(keys[0]), keys[0], n)
+    if end is None:
+        return rows
+    last, left = end
+    same = rows.where(F.col(keys[0]) == last)
+    return rows.where(F.col(keys[0]) < last).unionAll(first_rows(same, keys[1:], left) if len(keys) > 1 else same.limit(left))
 
 
 def page(rows: DataFrame, spec: TableSpec, start_pk: int | None, end_pk: int | None, limit: int) -> DataFrame:
     """Rows of a key range in key order, at most limit of them (0: all), captured columns only, computed ones NULL."""
-    lead = spec.pk_columns[0]
-    found = rows.where(key_range(F.col(lead), start_pk, end_pk))
-    if limit > SORTED_PAGE and isinstance(rows.schema[lead].dataType, T.IntegralType):
-        last = nth_key(found.select(lead), lead, limit)
-        if last is not None:
-            found = found.where(F.col(lead) <= last)  # more than limit rows only if the leading key repeats, which paging refuses
-        found = found.orderBy(*spec.pk_columns)
-    else:
-        found = found.orderBy(*spec.pk_columns)
-        found = found.limit(limit) if limit else found
+    found = rows.where(key_range(F.col(spec.pk_columns[0]), start_pk, end_pk))
+    found = (first_rows(found, spec.pk_columns, limit) if limit else found).orderBy(*spec.pk_columns)
     return found.select(*[F.lit(None).alias(c.name) if c.computed_definition is not None else F.col(f"`{c.name}`") for c in spec.captured_columns])
 
 
