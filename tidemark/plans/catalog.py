@@ -17,7 +17,7 @@ from tidemark.operators.run import CdcRetentionExpiredError, batches, capture_ba
 from tidemark.operators.views import latest_image, recompute
 from tidemark.plans import world
 from tidemark.plans.schema import conform, event_schema, logical_type, row_schema
-from tidemark.plans.spec import ColumnSpec, TableSpec
+from tidemark.plans.spec import ColumnChanges, ColumnSpec, TableSpec
 from tidemark.plans.state import BatchResult
 from tidemark.plans.world import KEY, SCHEMA, TABLE, shown
 from tidemark.sources.frames import FrameSource, columns_of, page, page_end
@@ -103,10 +103,10 @@ def pk_range_chunk_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.floor((F.col("doc_id") - low) / 64).cast("long").alias("slice")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT c_custkey, CAST(NULL AS VARCHAR) AS c_name, c_nationkey, CAST(CAST(c_acctbal AS DECIMAL(12, 2)) AS DOUBLE) AS c_acctbal, c_mktsegment FROM customer ORDER BY c_custkey LIMIT 40")
+@query(f"SELECT c_custkey, CAST(NULL AS VARCHAR) AS c_name, c_nationkey, CAST(CAST(c_acctbal AS DECIMAL(12, 2)) AS DOUBLE) AS c_acctbal, c_mktsegment FROM customer")
 def computed_null_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = world.source(spark, sf_dir, [1], computed={"c_name": "concat('Customer#', c_custkey)"})
-    return shown(src.read_table(spec_of(src), limit=40))
+    return shown(src.read_table(spec_of(src)))
 
 
 # --- log scans ---
@@ -132,13 +132,13 @@ def window_high_low(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(x.hex().upper() for x in (low, high, successor(high)))], "low string, high string, next_open string")
 
 
-@query("SELECT event_id AS number, lpad(to_hex(event_id), 20, '0') AS lsn, row_number() OVER (ORDER BY event_id) AS place FROM events WHERE event_id < 600")
+@query("SELECT event_id AS number, lpad(to_hex(event_id), 20, '0') AS lsn, row_number() OVER (ORDER BY event_id) - 1 AS place FROM events")
 def lsn_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions by byte order have the places that their numbers have, across 00FF and 0100."""
-    from pyspark.sql import Window
+    from tidemark.plans.cases import placed
 
-    some = world.read(spark, sf_dir, "events").where("event_id < 600").select(F.col("event_id").alias("number"), lsn_column(F.col("event_id")).alias("lsn"))
-    return shown(some.withColumn("place", F.row_number().over(Window.orderBy("lsn")).cast("long")))
+    every = world.read(spark, sf_dir, "events").select(F.col("event_id").alias("number"), lsn_column(F.col("event_id")).alias("lsn"))
+    return shown(placed(every.orderBy("lsn")))
 
 
 @query("SELECT lpad(to_hex(event_id // 4 + 1), 20, '0') AS start_lsn, max(ts) AS commit_timestamp FROM events GROUP BY 1")
@@ -158,22 +158,22 @@ def op_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- stamping, conforming, merging ---
 
 
-@query(f"SELECT {ZEROS}, TIMESTAMP '2026-01-01 00:00:00' AS commit_timestamp, {BUSINESS} FROM customer ORDER BY c_custkey LIMIT 30")
+@query(f"SELECT {ZEROS}, TIMESTAMP '2026-01-01 00:00:00' AS commit_timestamp, {BUSINESS} FROM customer")
 def stamp_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = world.source(spark, sf_dir, [1])
     spec = spec_of(src)
-    return shown(src.to_events(src.read_table(spec, limit=30), spec, world.DAWN))
+    return shown(src.to_events(src.read_table(spec), spec, world.DAWN))
 
 
 @query(
     "SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, CAST(CAST(c_acctbal AS DECIMAL(12, 2)) AS DOUBLE) AS c_acctbal, CAST(c_custkey AS INTEGER) AS c_custkey, c_name, c_mktsegment "
-    "FROM customer WHERE c_custkey < 500"
+    "FROM customer"
 )
 def conform_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns put in order and cast without loss."""
     kinds = [ColumnSpec("c_nationkey", "bigint"), ColumnSpec("c_acctbal", "decimal", 12, 2), ColumnSpec("c_custkey", "int"), ColumnSpec("c_name", "nvarchar"), ColumnSpec("c_mktsegment", "nvarchar")]
     spec = TableSpec(SCHEMA, TABLE, [KEY], kinds, kinds)
-    return shown(conform(world.read(spark, sf_dir, "customer").where("c_custkey < 500"), row_schema(spec), "customer"))
+    return shown(conform(world.read(spark, sf_dir, "customer"), row_schema(spec), "customer"))
 
 
 def page_and_window(spark: SparkSession, sf_dir: str) -> tuple[TableSpec, DataFrame, DataFrame]:
@@ -281,10 +281,10 @@ def latest_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(latest_image(reduce(DataFrame.unionAll, frames), [KEY]))
 
 
-@query("SELECT c_custkey, 'Customer ' || CAST(c_custkey AS VARCHAR) AS c_name FROM customer ORDER BY c_custkey LIMIT 40")
+@query("SELECT c_custkey, 'Customer ' || CAST(c_custkey AS VARCHAR) AS c_name FROM customer")
 def recomputed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = world.source(spark, sf_dir, [1], computed={"c_name": "a formula of the source"})
-    return recompute(src.read_table(spec_of(src), limit=40), {"c_name": "concat('Customer ', c_custkey)"}).select("c_custkey", "c_name")
+    return recompute(src.read_table(spec_of(src)), {"c_name": "concat('Customer ', c_custkey)"}).select("c_custkey", "c_name")
 
 
 @query("SELECT p AS position, p < 40 AS expired FROM (VALUES (1), (39), (40), (41)) t(p)")
@@ -314,12 +314,15 @@ def barrier_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "scan int, passed boolean")
 
 
-@query("SELECT c AS change, d AS drift FROM (VALUES (1, 'gained x'), (2, 'lost c_name'), (3, 'gained x and lost c_name'), (4, 'changed the type of a column')) t(c, d)")
+@query(
+    "SELECT c AS change, d AS drift FROM (VALUES (1, 'added: x'), (2, 'removed: c_name'), (3, 'added: x; removed: c_name'), (4, 'retyped: c_name'), (5, 'in another order'), (6, 'unchanged')) t(c, d)"
+)
 def schema_drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = list(world.COLUMNS)
-    less = [n for n in names if n != "c_name"]
-    changes = [[*names, "x"], less, [*less, "x"], names]
-    return spark.createDataFrame([(i, drift(names, after)) for i, after in enumerate(changes, 1)], "change int, drift string")
+    own = list(spec_of(world.source(spark, sf_dir, [1])).captured_columns)
+    less, more = [c for c in own if c.name != "c_name"], [*own, ColumnSpec("x", "int")]
+    retyped = [ColumnSpec("c_name", "int") if c.name == "c_name" else c for c in own]
+    changes = [more, less, [*less, more[-1]], retyped, own[::-1], own]
+    return spark.createDataFrame([(i, str(ColumnChanges.between(own, after))) for i, after in enumerate(changes, 1)], "change int, drift string")
 
 
 TYPES = [
