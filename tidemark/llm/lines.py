@@ -4,19 +4,22 @@ Words are what white space parts.  A window is ``min_words`` words in a row,
 wherever it begins: within lines, across them, or in the middle of sentences.
 Each window selects, as fingerprint, the least hash of the runs of half as many words in it,
 the leftmost of equals; equal windows select equal fingerprints, which is the
-guarantee of winnowing.  Windows in a row that select one fingerprint are a
-stretch, and later copies of a whole stretch are cut at once.  First stretches
-whose fingerprint has other stretches too are compared window by window, by
-fingerprint and a hash of 64 bits of the window, so that a passage that very
-many documents share, each with other neighbours, matches none by chance.  A window is deleted if an equal
-one comes before it, without overlapping it, in order of (doc_id, text hash,
-word).  A repeated run of ``min_words`` words or more is the union of its
-windows, so exactly those words go that lie in such a run.
-
-Scale: stretches and windows are pre-aggregated (to counts and first
+guarantee of winnowing, so only positions of fingerprints that occur more than
+once can be in a repeated run.  These are joined by fingerprint, and each match
+is extended both ways.  Windows in a row that select one fingerprint reach as
+far around its position as any window with it does: where all these words are
+those of an earlier position, the match is the whole stretch.  Elsewhere the
+windows of the stretch are compared one by one, by fingerprint and a hash of 64 bits
+of the window, and the match goes as far to either side as they are equal.  A
+window is deleted if an equal one comes before it, without overlapping it, in order of
+(doc_id, text hash, word).  A repeated run of ``min_words`` words or more is the
+union of its windows, so exactly those words go that lie in such a run.
+
+Scale: fingerprints are counted first, 8 bytes each; a sieve of bounded size
+(``sieve.py``) keeps those that occur once, which are most, and the texts without
+a match from every further shuffle.  Positions are pre-aggregated (to counts and first
 positions), no pairs of positions are ever made; a hot fingerprint only skews
-sort-merge joins, which adaptive execution splits.  Texts are shuffled twice:
-to meet their stretches, and to meet the windows to be cut.
+sort-merge joins, which adaptive execution splits.
 
 Defined results: null text stays null; white space inside a deleted run goes
 with it, as does the line's end where a whole line goes, and white space
@@ -40,12 +43,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import staged
+from tidemark.llm.sieve import fresh, held, sieve
 
 MIN_WORDS = 50
 LAST = (1 << 63) - 1
 #: Bytes of text that are hashed at once; a longer text is hashed alone.
 HELD_BYTES = 1 << 20
-_LINE = re.compile(r"[^\n.!?]*(?:[.!?](?![ \t])[^\n.!?]*)*(?:[.!?][ \t]+|\n|\Z)")
 _WORD = re.compile(r"[^ \t-\r]+")
 _AFTER = re.compile(r"[ \t\r\v\f]*\n?")
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -53,11 +56,6 @@ _BYTE = np.array([xxhash.xxh64_intdigest(bytes([b]), 1) for b in range(256)], np
 _BASE = 0x9E3779B97F4A7C15
 
 
-def lines_of(text: str | None) -> list[str]:
-    """The lines of a text, with what ends them; together they are the text."""
-    return [line for line in _LINE.findall(text or "") if line]
-
-
 @lru_cache(1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2**64."""
@@ -176,6 +174,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     elsewhere = (F.col("id") != F.col("first.id")) | (F.col("th") != F.col("first.th"))
     # Windows in a row of one fingerprint, as a whole: later copies are cut, without looking at their windows.
     found = staged(keyed.mapInArrow(_run_batches(min_words), _RUNS))
+    often = staged(sieve(found.select("fp").groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("fp").alias("h"))))
+    found = held(found, F.xxhash64("fp"), often)
     kinds = staged(found.groupBy("fp", "run").agg(F.min(place).alias("first"), F.min("n").alias("n"), F.count("*").alias("times")))
     copies = found.join(kinds.where("times > 1").select("fp", "run", "first").hint("merge"), ["fp", "run"]).where(elsewhere | (F.col("start") != F.col("first.start")))
     apart = elsewhere | (F.col("start") >= F.col("first.start") + F.col("n") - 1 + min_words)
@@ -185,7 +185,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     open_ = kinds.groupBy("fp").agg(F.count("*").alias("k")).where("k > 1").select("fp").unionAll(rest.select("fp")).distinct()
     wanted = kinds.join(open_.hint("merge"), "fp").select("first.id", "first.th", "first.start", "n").unionAll(rest.select("id", "th", "start", "n"))
     wanted = staged(wanted.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set(F.struct("start", "n")).alias("runs")))
-    texts = keyed.join(wanted.hint("merge"), (F.col("id") == F.col("_id")) & (F.col("th") == F.col("_th"))).select("id", "th", "text", "runs")
+    asked = staged(sieve(wanted.select(F.xxhash64("_id", "_th").alias("h"))))
+    texts = held(keyed, F.xxhash64("id", "th"), asked).join(wanted.hint("merge"), (F.col("id") == F.col("_id")) & (F.col("th") == F.col("_th"))).select("id", "th", "text", "runs")
     placed = staged(texts.mapInArrow(_window_batches(min_words), "id long, th long, fp long, whole long, start int"))
     firsts = placed.groupBy("fp", "whole").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").select("fp", "whole", "first")
     later = placed.join(firsts.hint("merge"), ["fp", "whole"]).where(elsewhere | (F.col("start") >= F.col("first.start") + min_words))
@@ -195,20 +196,22 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs, all columns, with later repeated runs of words deleted from the text."""
-    runs = repeated_runs(docs, id_col, text_col, min_words).groupBy("id", "th").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
-    runs = staged(runs.withColumnsRenamed({"id": "_id", "th": "_th"}))
-    own = (F.coalesce(docs[id_col].cast("long"), F.lit(LAST)) == runs["_id"]) & (F.xxhash64(docs[text_col]) == runs["_th"])
-    joined = docs.join(runs.hint("merge"), own, "left").select(*[docs[c] for c in docs.columns], "_spans")
+    spans, id_, th = (fresh(n, docs.columns) for n in ("_spans", "_id", "_th"))
+    runs = repeated_runs(docs, id_col, text_col, min_words).groupBy("id", "th").agg(F.collect_set(F.struct("start", "end")).alias(spans))
+    runs = staged(runs.withColumnsRenamed({"id": id_, "th": th}))
+    own_id, own_th = F.coalesce(docs[id_col].cast("long"), F.lit(LAST)), F.xxhash64(docs[text_col])
+    some, key = staged(sieve(runs.select(F.xxhash64(id_, th).alias("h")))), F.xxhash64(own_id, own_th)
+    joined = held(docs, key, some).join(runs.hint("merge"), (own_id == runs[id_]) & (own_th == runs[th]), "left").select(*[docs[c] for c in docs.columns], spans)
 
     def cut(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             at = batch.schema.get_field_index(text_col)
             lists = batch.column(batch.num_columns - 1)
-            spans = iter(zip(*(lists.flatten().field(k).to_pylist() for k in (0, 1)), strict=True))
+            own = iter(zip(*(lists.flatten().field(k).to_pylist() for k in (0, 1)), strict=True))
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
-            texts = [without(t, list(islice(spans, n))) if n else t for t, n in zip(batch.column(at).to_pylist(), sizes, strict=True)]
+            texts = [without(t, list(islice(own, n))) if n else t for t, n in zip(batch.column(at).to_pylist(), sizes, strict=True)]
             columns = batch.columns[:-1]
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return joined.mapInArrow(cut, docs.schema)
+    return joined.mapInArrow(cut, docs.schema).unionAll(held(docs, key, some, wanted=False))
