@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
 
@@ -71,7 +72,8 @@ def test_groups_match_brute_force(spark, cell):
     assert found == {d: (f"{p:016x}", roots[d]) for d, p in prints}
 
 
-def test_links_of_planted_distances(spark):
+@pytest.mark.parametrize("cell", [4, 20, 8192])
+def test_links_of_planted_distances(spark, cell):
     rng = np.random.default_rng(3)
     prints = []
     for x in rng.integers(0, 1 << 63, 60).tolist():
@@ -82,7 +84,7 @@ def test_links_of_planted_distances(spark):
             prints.append(y)
     rows = [(y - (1 << 64) if y >> 63 else y,) for y in dict.fromkeys(prints)]
     frame = spark.createDataFrame(rows, "fp long")
-    found = {r.node: r.root for r in simhash.components(simhash.links(frame, cell=4)).collect()}
+    found = {r.node: r.root for r in simhash.components(simhash.links(frame.withColumn("node", F.col("fp")), ["fp"], [], cell=cell)).collect()}
     mask = (1 << 64) - 1
     roots = brute_components([(f, f & mask) for (f,) in sorted(rows)])
     assert {f: found.get(f, f) for (f,) in rows} == roots
@@ -99,4 +101,53 @@ def test_repeated_rows_nulls_and_extra_columns(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in rows) == [(False, 1, 1), (False, 1, 1), (False, 3, 3), (True, 0, 1)]
     kept = simhash.near_dedup(docs).collect()
     assert sorted((r.doc_id, r.text, r.fp) for r in kept) == [(1, "a b c", 5), (3, None, 8)]
-    assert simhash.groups(docs.limit(0)).count() == 0 and simhash.near_dedup(docs.limit(0)).columns == docs.columns
+    assert simhash.groups(docs.limit(0)).count() == 0 and simhash.near_dedup(docs.limit(0)).columns == docs.columns and simhash.near_dedup(docs.limit(0)).count() == 0
+
+
+def similarity(a, b):
+    def shingles(text):
+        words = (text or "").encode().lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+@pytest.mark.parametrize("cell", [5, 8192])
+def test_near_dedup_keeps_one_of_each_group(spark, cell):
+    """All copies with a similarity of 0.87 or more go, and nothing that brute force does not link at 0.8."""
+    rng = np.random.default_rng(6)
+    common = [f"c{i}" for i in range(60)]
+    docs, doc = [], 1000
+    for family in range(25):
+        base = [common[k] if k < 60 else f"f{family}x{k}" for k in rng.integers(0, 400, 220).tolist()]
+        for edits in (0, 1, 2, 3, 8, 40):
+            words = list(base)
+            for at in rng.choice(220, edits, replace=False).tolist():
+                words[at] = f"e{rng.integers(0, 10**6)}"
+            docs.append((doc, " ".join(words)))
+            doc -= 1
+    kept = {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), cell=cell).collect()}
+    text = dict(docs)
+    root = {d: d for d in text}
+    sure = {d: d for d in text}
+    for where, least in ((root, 0.8), (sure, 0.87)):
+        for a in text:
+            for b in range(a + 1, min(a + 6, 1001)):
+                if b in text and similarity(text[a], text[b]) >= least:
+                    p, q = a, b
+                    while where[p] != p:
+                        p = where[p]
+                    while where[q] != q:
+                        q = where[q]
+                    where[max(p, q)] = min(p, q)
+    assert {d for d in text if root[d] == d} <= kept <= {d for d in text if sure[d] == d}
+
+
+def test_near_dedup_of_odd_columns_and_repeated_ids(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long, {"k": 1}, 1, 5), (1, long, {"k": 1}, 1, 4), (2, long + " end", {"k": 2}, 2, 3), (1, "another text of its own", {"k": 3}, 3, 2), (None, None, None, None, 1), (None, None, {"k": 1}, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a map` map<string,int>, _node int, _first int")
+    found = simhash.near_dedup(docs)
+    assert found.schema.names == docs.schema.names
+    assert sorted((r.doc_id or 0, (r.text or "")[:7], r._first) for r in found.collect()) == [(0, "", 1), (1, "another", 2), (1, "w0 w1 w", 4)]

@@ -11,21 +11,32 @@ home" at the one within radius 1.  If a and b differ in one bit of the half,
 b is at a's home anchor too, so comparing homes with members, anchor by
 anchor, finds every link exactly, with no cap.
 
+``groups`` links fingerprints of 3-word shingles within three bits.
+``near_dedup`` links texts of which at least ``SIMILAR`` of the 5-word shingles are
+shared (Jaccard).  A few changed words change many shingles, and with them
+more bits than anchors can cover; so a text is dealt by fingerprints of its
+single words, ``SEEDS`` of them, of which near copies change few bits (recall: see
+the README).  Where two texts meet at an anchor, fingerprints of their 5-word shingles
+of 64 * ``WORDS`` bits are compared, and links that these show are checked by the
+shingles themselves.
+
 Work and memory at scale:
 
-* exact copies collapse to one fingerprint before anything is compared;
+* exact copies collapse to one node before anything is compared;
 * members of an anchor are compared in cells of at most ``cell`` homes by
   ``cell`` members, an overfull anchor being dealt over a grid of cells by
   hash, so no task ever holds a whole group;
-* a cell returns a spanning forest of its links (at most one row per
-  member), never all pairs of a group of near copies;
+* a cell of more than ``SMALL`` rows returns a spanning forest of its links (at
+  most one row per member), the closest first, never all pairs of a group of near copies;
 * components come from alternating large-star / small-star rounds on
-  checkpointed edge tables; the driver only sees one count per round.
+  checkpointed edge tables; the driver only sees one count per round;
+* a sieve of bounded size keeps texts without a link from being shuffled.
 
 Defined results: null text counts as empty; texts without words have
 fingerprint zero and are linked like any other; repeated rows come back once
-each; a null doc_id is kept and never becomes a component_id unless it has no
-other id to take; extra columns are ignored.
+each from ``groups``, and once from ``near_dedup``; a null doc_id is kept and never
+becomes a component_id unless it has no other id to take; extra columns, of any type
+and name, are ignored by ``groups`` and kept by ``near_dedup``.
 """
 
 from __future__ import annotations
@@ -39,10 +50,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import staged
+from tidemark.llm.sieve import fresh, held, sieve
 
 THRESHOLD = 3
-CELL = 2048
+CELL, SMALL = 8192, 8
 SHINGLE = 3
+#: Of near_dedup: words a shingle, the least similarity, fingerprints of single words, 64-bit words of a shingle fingerprint, and its bits that may differ, closest first.
+SHINGLE_STAGE, SIMILAR, SEEDS, WORDS, LEVELS = 5, 0.8, 2, 4, (16, 32, 52)
 _STEP = 1 << 13
 
 #: Syndrome of every 16-bit low part and 15-bit high part of a 31-bit value:
@@ -55,22 +69,55 @@ for _i in range(15):
     _HIGH[1 << _i : 2 << _i] = _HIGH[: 1 << _i] ^ (_i + 17)
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """The unsigned 64-bit fingerprint of a whole text."""
-    words = (text or "").encode().lower().split()
+def _shingles(words: list[bytes], size: int) -> list[bytes]:
     if not words:
-        return 0
-    if len(words) < size:
-        shingles = [words]
-    else:
-        shingles = zip(*(words[i:] for i in range(size)), strict=False)
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    hashes = np.fromiter((digest(join(s), 42) for s in shingles), np.uint64).astype(">u8")
-    ones = np.zeros(64, np.int64)
+        return []
+    join = b" ".join
+    return [join(words)] if len(words) < size else [join(s) for s in zip(*(words[i:] for i in range(size)), strict=False)]
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """Of rows of 64-bit words, the bits that are set in over half of the rows, as such words."""
+    ones = np.zeros(64 * hashes.shape[1], np.int64)
     for at in range(0, len(hashes), _STEP):
-        part = hashes[at : at + _STEP]
-        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+        part = np.ascontiguousarray(hashes[at : at + _STEP].astype(">u8"))
+        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes)).view(">u8").astype(np.uint64)
+
+
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    """The unsigned 64-bit fingerprint of a whole text; repeated shingles count anew."""
+    shingles = _shingles((text or "").encode().lower().split(), size)
+    if not shingles:
+        return 0
+    digest = xxhash.xxh64_intdigest
+    return int(_majority(np.fromiter((digest(s, 42) for s in shingles), np.uint64).reshape(-1, 1))[0])
+
+
+def _spread(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Each hash as a row of so many independent words."""
+    h = hashes[:, None] + np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def signature(text: str | None) -> np.ndarray:
+    """SEEDS fingerprints of a text's distinct words, then WORDS words of the fingerprint of its distinct shingles."""
+    words = (text or "").encode().lower().split()
+    out = []
+    for parts, n in ((set(words), SEEDS), (set(_shingles(words, SHINGLE_STAGE)), WORDS)):
+        digest = xxhash.xxh64_intdigest
+        hashes = np.fromiter((digest(p, 42) for p in parts), np.uint64, len(parts))
+        out.append(_majority(_spread(hashes, n)) if parts else np.zeros(n, np.uint64))
+    return np.concatenate(out)
+
+
+def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = np.array([signature(t.as_py()) for t in batch.column(1)], np.uint64).reshape(-1, SEEDS + WORDS).view(np.int64)
+        names = ["node", *[f"band{i}" for i in range(SEEDS)], *[f"check{i}" for i in range(WORDS)]]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(c)) for c in rows.T]], names=names)
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,89 +155,109 @@ def anchors(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(index), np.concatenate(anchor), np.concatenate(home)
 
 
-def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = batch.column(0).to_numpy(zero_copy_only=False)
-        for at in range(0, len(prints), _STEP):
-            part = prints[at : at + _STEP]
-            for half, values in enumerate(halves(part)):
-                index, anchor, home = anchors(values)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor << 1 | half), pa.array(part[index]), pa.array(home)], names=["anchor", "fp", "home"]
-                )
+def _anchor_batches(bands: int, alone: bool = False):
+    """From rows (node, bands, checks): (anchor, node, home, checks) at every anchor in reach, or the anchors alone."""
 
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            for at in range(0, batch.num_rows, _STEP):
+                part = batch.slice(at, _STEP)
+                columns = [part.column(i).to_numpy(zero_copy_only=False) for i in range(part.num_columns)]
+                for band in range(bands):
+                    for half, values in enumerate(halves(columns[1 + band])):
+                        index, anchor, home = anchors(values)
+                        rows = [pa.array(anchor * (2 * bands) + 2 * band + half)]
+                        names = ["anchor"]
+                        if not alone:
+                            rows += [pa.array(columns[0][index]), pa.array(home), *[pa.array(c[index]) for c in columns[1 + bands :]]]
+                            names += ["node", "home", *part.schema.names[1 + bands :]]
+                        yield pa.RecordBatch.from_arrays(rows, names=names)
 
-def _bits(values: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(values.view(np.uint64))
+    return batches
 
 
-def forest(homes: np.ndarray, members: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
-    """A spanning forest (larger, smaller) of the links between homes and members."""
-    parent: dict[int, int] = {}
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of words."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
 
-    for h in homes.tolist():
-        near = members[_bits(members ^ h) <= threshold]
-        if len(near) > 1 or len(near) == 1 and near[0] != h:
-            for m in near.tolist():
-                a, b = root(h), root(m)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-    return [(x, r) for x in list(parent) if (r := root(x)) != x]
+def forest(nodes: np.ndarray, checks: np.ndarray, homes: np.ndarray, levels: tuple[int, ...] = (THRESHOLD,)) -> list[tuple[int, int]]:
+    """A spanning forest of the links between homes (places) and all; each edge is a pair within the last level, found at the first level that joins its ends."""
+    label, edges = np.arange(len(nodes)), []
+    for level in levels:
+        for h in homes.tolist():
+            near = np.flatnonzero(_apart(checks, checks[h]) <= level)
+            own, first = np.unique(label[near], return_index=True)
+            if len(own) > 1:
+                edges += [(nodes[h], nodes[m]) for m, k in zip(near[first].tolist(), own.tolist(), strict=True) if k != label[h]]
+                label[np.isin(label, own)] = own[0]
+    return [(max(a, b), min(a, b)) for a, b in edges if a != b]
 
 
-def _cell_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, cell, fp, home) come sorted by anchor and cell; a cell is compared when it is complete."""
-    kept: list[tuple[np.ndarray, ...]] = []
+def _cell_batches(levels: tuple[int, ...]):
+    """Rows (anchor, cell, node, home, checks) come sorted by anchor and cell; a cell is compared when it is complete."""
 
     def compared(rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        anchor, cell, prints, home = (np.concatenate(c) for c in zip(*rows, strict=True))
+        anchor, cell, node, home, *checks = (np.concatenate(c) for c in zip(*rows, strict=True))
+        home = home > 0
+        checks = np.stack(checks or [node], axis=1).view(np.uint64)
         starts = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (cell[1:] != cell[:-1])])
-        ends = np.r_[starts[1:], len(anchor)]
-        homes = np.add.reduceat(home, starts)
-        edges: list[tuple[int, int]] = []
-        many = (ends - starts > 1) & (homes > 0)
-        for a, b in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
-            edges += forest(prints[a:b][home[a:b] > 0], prints[a:b])
-        if edges:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], names=["u", "v"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = tuple(batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
-        if kept and (kept[-1][0][-1], kept[-1][1][-1]) != (rows[0][-1], rows[1][-1]) or not kept:
-            cut = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
-            cut = cut[-1] + 1 if len(cut) else 0
-            done = [*kept, tuple(r[:cut] for r in rows)]
-            if sum(len(r[0]) for r in done):
-                yield from compared(done)
-            kept = [tuple(r[cut:] for r in rows)]
-        else:
-            kept.append(rows)
-    if kept:
-        yield from compared(kept)
-
-
-def links(prints: DataFrame, cell: int = CELL) -> DataFrame:
-    """(u, v), u > v: spanning links between distinct fingerprints (column fp) at most three bits apart."""
-    dealt = prints.select("fp").mapInArrow(_anchor_batches, "anchor long, fp long, home boolean")
-    sizes = dealt.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > cell)
-    grid = F.coalesce(F.ceil(F.col("n") / cell), F.lit(1)).cast("int")
-    spread = dealt.join(sizes, "anchor", "left").withColumn("k", grid)
+        sizes = np.diff(np.r_[starts, len(anchor)])
+        group, small = np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes <= SMALL, sizes)
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for step in range(1, SMALL):  # small cells, all at once
+            i = np.flatnonzero(small[:-step] & (group[:-step] == group[step:]) & (home[:-step] | home[step:]) & (node[:-step] != node[step:])) if step < len(group) else np.empty(0, np.int64)
+            if not len(i):
+                continue
+            i = i[_apart(checks[i], checks[i + step]) <= levels[-1]]
+            found.append((np.maximum(node[i], node[i + step]), np.minimum(node[i], node[i + step])))
+        some = np.add.reduceat(home.astype(np.int64), starts) > 0
+        for k in np.flatnonzero((sizes > SMALL) & some).tolist():
+            a, b = starts[k], starts[k] + sizes[k]
+            edges = forest(node[a:b], checks[a:b], np.flatnonzero(home[a:b]), levels)
+            if edges:
+                found.append(tuple(np.array(c, np.int64) for c in zip(*edges, strict=True)))
+        u, v = (np.concatenate(c) for c in zip(*found, strict=True))
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, ...]] = []
+        for batch in found:
+            if not batch.num_rows:
+                continue
+            rows = tuple(c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
+            if not kept or (kept[-1][0][-1], kept[-1][1][-1]) != (rows[0][-1], rows[1][-1]):
+                cut = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+                cut = cut[-1] + 1 if len(cut) else 0
+                done = [*kept, tuple(r[:cut] for r in rows)]
+                if sum(len(r[0]) for r in done):
+                    yield from compared(done)
+                kept = [tuple(r[cut:] for r in rows)]
+            else:
+                kept.append(rows)
+        if kept:
+            yield from compared(kept)
+
+    return batches
+
+
+def links(prints: DataFrame, bands: list[str], checks: list[str], levels: tuple[int, ...] = (THRESHOLD,), cell: int = CELL) -> DataFrame:
+    """(u, v), u > v: links that span the groups of nodes (column node) which share an anchor of a band and differ in few bits of checks (without any: of node)."""
+    # Nodes are small and make many rows, so they are dealt to all tasks, whatever their size.
+    rows = prints.select("node", *bands, *checks).repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
+    sizes = rows.select("node", *bands).mapInArrow(_anchor_batches(len(bands), alone=True), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > cell)
+    dealt = rows.mapInArrow(_anchor_batches(len(bands)), "anchor long, node long, home boolean" + "".join(f", {c} long" for c in checks))
+    spread = dealt.join(staged(sizes), "anchor", "left").withColumn("k", F.coalesce(F.ceil(F.col("n") / cell), F.lit(1)).cast("int"))
     # A grid of k x k cells: a home lies in one row of it, a member in one column; each pair meets in one cell.
-    mine = F.pmod(F.xxhash64("fp"), F.col("k"))
+    mine = F.pmod(F.xxhash64("node"), F.col("k"))
     across = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.struct((mine * F.col("k") + i).alias("cell"), F.lit(True).alias("home")))
     down = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.struct((i * F.col("k") + mine).alias("cell"), F.lit(False).alias("home")))
     single = F.array(F.struct(F.lit(0).cast("long").alias("cell"), F.col("home")))
     cells = F.when(F.col("k") == 1, single).when(F.col("home"), F.concat(across, down)).otherwise(down)
-    rows = spread.select("anchor", "fp", F.explode(cells).alias("c")).select("anchor", F.col("c.cell").cast("long").alias("cell"), "fp", "c.home")
-    rows = rows.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
-    return rows.mapInArrow(_cell_batches, "u long, v long")
+    met = spread.select("anchor", "node", *checks, F.explode(cells).alias("c")).select("anchor", F.col("c.cell").cast("long").alias("cell"), "node", "c.home", *checks)
+    met = met.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
+    return met.mapInArrow(_cell_batches(levels), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -217,7 +284,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell
     """(doc_id, fingerprint, component_id, component_size): one row per row of docs."""
     each = staged(fingerprints(docs, id_col, text_col))
     distinct = staged(each.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n")))
-    found = components(links(distinct, cell))
+    found = components(links(distinct.withColumn("node", F.col("fp")), ["fp"], [], cell=cell))
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "doc", "n", F.coalesce("root", "fp").alias("root"))
     rooted = staged(rooted)
     total = rooted.groupBy("root").agg(F.min("doc").alias("component_id"), F.sum("n").alias("component_size"))
@@ -227,16 +294,46 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell
     )
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but the smallest doc_id of each group; of rows that repeat that id, the first in text order stays."""
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    first = staged(groups(docs, id_col, text_col).where(stays).groupBy(F.col("component_id").alias("_keep")).agg(F.count("*").alias("_rows")))
-    kept = [docs.join(f, docs[id_col].eqNullSafe(f["_keep"]), "left_semi") for f in (first.where("_rows = 1"), first.where("_rows > 1"))]
-    return kept[0].unionAll(one_row_per_id(kept[1], id_col, text_col))
-
-
-def one_row_per_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each id: the least by text, then by the other columns."""
-    rest = [c for c in docs.columns if c != id_col]
-    least = F.min(F.struct(F.col(text_col).alias("_first"), *[F.col(c) for c in rest]))
-    return docs.groupBy(id_col).agg(least.alias("_row")).select(*[F.col(id_col) if c == id_col else F.col("_row")[c].alias(c) for c in docs.columns])
+def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in set(_shingles((t.as_py() or "").encode().lower().split(), SHINGLE_STAGE))], np.uint64)).view(np.int64) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+
+def similar(docs: DataFrame, text_col: str = "text", cell: int = CELL) -> DataFrame:
+    """(u, v): links that span the groups of texts, by their xxhash64, which share at least SIMILAR of their shingles."""
+    keyed = docs.select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
+    bands, checks = [f"band{i}" for i in range(SEEDS)], [f"check{i}" for i in range(WORDS)]
+    each = staged(keyed.mapInArrow(_signature_batches, "node long" + "".join(f", {c} long" for c in bands + checks)))
+    nodes = each.groupBy("node").agg(*[F.min(c).alias(c) for c in bands + checks])
+    likely = staged(links(nodes, bands, checks, LEVELS, cell).distinct())
+    ends = staged(likely.select(F.col("u").alias("node")).unionAll(likely.select(F.col("v").alias("node"))).distinct())
+    some = staged(sieve(ends.select(F.xxhash64("node"))))
+    texts = held(keyed, F.xxhash64("node"), some).join(ends, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    sets = staged(texts.mapInArrow(_shingle_batches, "node long, shingles array<long>"))
+    both = likely.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.where(shared >= SIMILAR * (F.size("a") + F.size("b") - shared)).select("u", "v")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL) -> DataFrame:
+    """docs without all but one row of each group: the one with the smallest doc_id; of rows that repeat it, the first in order of text and the other columns."""
+    found = components(similar(docs, text_col, cell))
+    each = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("node"))
+    copies = each.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    rooted = staged(copies.join(found, "node", "left").select("node", "id", "n", F.coalesce("root", "node").alias("root")))
+    groups_ = rooted.groupBy("root").agg(F.min("id").alias("least"), F.sum("n").alias("n")).where("n > 1")
+    # Texts of groups of more than one row; all others stay as they are.
+    own = staged(rooted.join(groups_.select("root", "least"), "root").select("node", "root", "least"))
+    some = staged(sieve(own.select(F.xxhash64("node"))))
+    node, least, root, rest = (fresh(n, docs.columns) for n in ("_node", "_least", "_root", "_rest"))
+    key = F.xxhash64(F.xxhash64(text_col))
+    maybe = held(docs, key, some).withColumn(node, F.xxhash64(text_col))
+    marked = maybe.join(own.select(F.col("node").alias(node), F.col("least").alias(least), F.col("root").alias(root)), node, "left")
+    single = marked.where(F.col(root).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The rows with the smallest id of their groups; of several, one.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = marked.where(F.col(root).isNotNull() & F.col(f"`{id_col}`").eqNullSafe(F.col(least)))
+    kept = kept.groupBy(root).agg(F.min_by(row, F.struct(F.col(f"`{text_col}`"), row.cast("string"))).alias(rest))
+    kept = kept.select(*[F.col(rest).getField(c).alias(c) for c in docs.columns])
+    return held(docs, key, some, wanted=False).unionAll(single).unionAll(kept)
