@@ -19,15 +19,16 @@ def test_format_type_and_coreference(spark):
     found = run(spark, rows)
     new = found[1].text
     shape = re.compile(
-        r'Mail [a-z]{3}\.\d\d@[a-z]{4}\d\.[a-z]{7}\.com or call \+1 \([2-9\d]{3}\) \d{3}-\d{4}, host (\d+)\.(\d+)\.(\d+)\.(\d+), card (4\d{15}), not 4111111111111112; AKIA[A-Z0-9]{16} token = "[0-9a-f]{40}" password=[0-9a-f]{18} Ms\. [A-Z][a-z]{2} [A-Z][a-z]{2}g\.'
+        r'Mail [a-z]{3}\.\d\d@[a-z]{4}\d\.[a-z]{7}\.com or call \+1 \([2-9\d]{3}\) \d{3}-\d{4}, host (\d+)\.(\d+)\.(\d+)\.(\d+), card (4\d{15}), not 4111111111111112; AKIA[A-Z0-9]{16} token = "[0-9a-f]{40}" password=[0-9a-f]{18} Ms\. (\w+) (\w+)\.'
     )
     m = shape.fullmatch(new)
-    assert m and luhn(m[5]) and all(0 < int(o) < 255 for o in m.groups()[:4]) and found[1].n_entities == 8
+    assert m and luhn(m[5]) and m[5].startswith("4111") and all(0 < int(o) < 255 for o in m.groups()[:4]) and found[1].n_entities == 8
+    assert m[6] in pii.GIVEN["f", "latin"] and m[7] in pii.FAMILY["f", "latin"]
     for old in ("bob.42", "386) 555", "25.86.162.211", "4111111111111111", "MD62HKU6", "0641917e", "e3b3ed3c", "Ada Berg"):
         assert old not in new
     mail = re.search(r"\S+@\S+", new)[0]
     assert mail in found[2].text and found[2].text.count("@" + mail.split("@")[1]) == 2
-    assert new.split()[-1][:-1] == found[2].text.split()[-1] and new.split()[-2].endswith("a")
+    assert found[2].text.endswith("Ms. " + m[7])
     assert [found[i].text for i in (3, 4, 5)] == [r[1] for r in rows[2:]]
     assert run(spark, rows)[1].text == new and run(spark, rows, "other")[1].text != new
 
@@ -40,10 +41,11 @@ def test_short_entities_stay_distinct(spark):
 
 
 def test_repeats_nulls_and_extra_columns(spark):
-    rows = [(1, "1.2.3.4", 7), (1, "1.2.3.4", 7), (None, "1.2.3.4 " * 3000, 8)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, value int")
+    rows = [(1, "1.2.3.4", 7, 1, "a"), (1, "1.2.3.4", 7, 1, "a"), (None, "1.2.3.4 " * 3000, 8, 2, "b"), (9, "clean", 9, 3, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, value int, n_entities int, _news string")
     found = pii.replaced(docs, "k")
-    assert found.columns == ["doc_id", "text", "value", "n_entities"]
+    assert found.columns == ["doc_id", "text", "value", "n_entities", "_news", "_n_entities"]
+    assert sorted((r.n_entities, r._n_entities) for r in found.collect()) == [(1, 1), (1, 1), (2, 3000), (3, 0)]
     got = found.collect()
     short = {r.text for r in got if r.doc_id == 1}
     assert len(short) == 1 and [r.text for r in got if r.doc_id is None] == [(short.pop() + " ") * 3000]
@@ -59,3 +61,83 @@ def test_assigned_secrets_are_replaced_to_their_end(spark):
     assert re.fullmatch(r"password=[A-Za-z0-9]{320} end", news[1]) and long[-20:] not in news[1]
     assert not any(part in news[i] for part in jwt.strip("=").split(".") for i in (2, 3))
     assert news[2].endswith("==. End") and news[2][len("token=") : -len(". End")] == news[3][len("api_key: ") :]
+
+
+def test_one_surrogate_whatever_the_format(spark):
+    same = [("Alice@Corp.com", "alice@corp.com"), ("+1 555-123-4567", "+15551234567"), ("4111 1111 1111 1111", "4111111111111111"), ("2001:DB8::1", "2001:db8::1"), ("Ms. Ada BERG", "Ms. Ada Berg"), ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000")]
+    found = run(spark, [(i, f"x {a} y {b} z") for i, (a, b) in enumerate(same)])
+    plain = lambda v: re.sub("[^0-9a-z@+]", "", v.lower())
+    for i, (a, b) in enumerate(same):
+        x, y = re.fullmatch("x (.*) y (.*) z", found[i].text).groups()
+        assert plain(x) == plain(y) and plain(x) != plain(a) and re.sub(r"\w+", "", x) == re.sub(r"\w+", "", a) and found[i].n_entities == 2, (a, b, x, y)
+    assert found[0].text.split()[1][0].isupper() and re.fullmatch(r"x [0-9A-F:]+ y [0-9a-f:]+ z", found[3].text)
+
+
+def test_names_without_a_title_and_further_mentions(spark):
+    texts = {
+        1: "John Smith met Anna Karlsson. Later Smith left, and Karlsson's friend Anna stayed.",
+        2: "Ms. Ada Berg came; Ada Berg went, and BERG too. An iceberg is no Berg-like thing.",
+        3: "Dr. Tom Field and Prof. Иван Петров and Госпожа Елена Орлова",
+        4: "The Hill was green. Smith is a trade.",
+    }
+    found = {i: r.text for i, r in run(spark, list(texts.items())).items()}
+    words = re.findall(r"\w+", found[1])
+    assert words[0] in pii.GIVEN["m", "latin"] and words[3] in pii.GIVEN["f", "latin"] and words[1] == words[6] and words[4] == words[9] and words[3] == words[12]
+    assert not {"Smith", "Anna", "Karlsson"} & set(words)
+    assert not re.search(r"\bAda\b|\bBerg\b(?!-like)", found[2]) and "iceberg" in found[2]
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) and Prof\. (\w+) (\w+) and Госпожа (\w+) (\w+)", found[3])
+    assert m[3] in pii.GIVEN["m", "cyrillic"] and m[5] in pii.GIVEN["f", "cyrillic"] and m[4] in pii.FAMILY["m", "cyrillic"] and m[6] in pii.FAMILY["f", "cyrillic"]
+    assert found[4] == texts[4]
+
+
+def iban_ok(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def test_more_types(spark):
+    long = "a" * 70 + "@example.org"
+    texts = ["378282246310005", "3782 822463 10005", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "123-45-6789", "GB82 WEST 1234 5698 7654 32", long, "password=hunter2", "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJ_-x", "ghp_" + "aB3" * 12]
+    found = run(spark, [(i, f"so {t} it") for i, t in enumerate(texts)])
+    new = [re.fullmatch("so (.*) it", found[i].text)[1] for i in range(len(texts))]
+    assert all(a != b and len(a) == len(b) and re.sub("[0-9A-Za-z]", "x", a) == re.sub("[0-9A-Za-z]", "x", b) for a, b in zip(texts, new, strict=True)), new
+    assert all(luhn(n) and n.startswith("3782") for n in new[:2]) and iban_ok(new[4].replace(" ", "")) and new[4].startswith("GB") and new[7].startswith("eyJ") and new[8].startswith("ghp_")
+    clean = ["version 10.2.1 of 2020-01-02", "the secret: nothing special", "std::vector and add::bad", "GB82 WEST 1234 5698 7654 33 fails its check", "4111111111111112", "at 10:20:30", "000-12-3456", "token ring"]
+    assert [r.text for _, r in sorted(run(spark, list(enumerate(clean))).items())] == clean
+
+
+def test_as_brute_force(spark):
+    """Parts map one to one, to nothing that the input has, and the same everywhere."""
+    import random
+
+    rng = random.Random(8)
+    local = [f"{a}{n}" for a in "abc" for n in range(10)]
+    domains = ["a.org", "b.org", "ab.net", "Ba.net"]
+    people = [f"{t} {g} {f}" for t, g in (("Ms.", "Ann"), ("Ms.", "Di"), ("Mr.", "Bo"), ("Mr.", "Cy")) for f in ("Moe", "Lee", "Roe")]
+    ips = [f"10.0.0.{n}" for n in range(1, 200)]
+    rows, entities = [], []
+    for i in range(150):
+        some = [rng.choice([f"{rng.choice(local)}@{rng.choice(domains)}", rng.choice(people), rng.choice(ips)]) for _ in range(4)]
+        rows.append((i, " ; ".join(some)))
+        entities += some
+    found = run(spark, rows)
+    maps = {}
+    for i, text in rows:
+        for old, new in zip(text.split(" ; "), found[i].text.split(" ; "), strict=True):
+            if "@" in old:
+                pairs = [("local", old.lower().split("@")[0], new.lower().split("@")[0]), ("domain", old.lower().split("@")[1], new.lower().split("@")[1])]
+            elif old[0] == "M":
+                pairs = [(k + old[:2] * (k == "given"), o, n) for k, o, n in zip(("given", "family"), old.split()[1:], new.split()[1:], strict=True)]
+                assert old.split()[0] == new.split()[0]
+            else:
+                pairs = [("ip", old, new)]
+            for kind, o, n in pairs:
+                assert maps.setdefault(kind, {}).setdefault(o, n) == n
+    for kind, own in maps.items():
+        assert len(set(own.values())) == len(own) and not set(own) & set(own.values()), kind
+
+
+def test_a_key_is_needed(spark):
+    import pytest
+
+    with pytest.raises(ValueError, match="key"):
+        pii.replaced(spark.createDataFrame([(1, "x")], "doc_id long, text string"), "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get("spark.tidemark.piiKey", "a key for tests")  # a secret of the deployment
+    key = spark.conf.get("spark.tidemark.piiKey", None)  # a secret of the deployment
+    if not key:  # without one, nobody shall be able to draw the surrogates again
+        key = secrets.token_hex(32)
+        spark.conf.set("spark.tidemark.piiKey", key)
     return pii.replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
 
 
