@@ -42,13 +42,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import staged
+from tidemark.llm.shared import returning, staged
 from tidemark.llm.sieve import fresh, held, sieve
 
 MIN_WORDS = 50
 LAST = (1 << 63) - 1
 #: Bytes of text that are hashed at once; a longer text is hashed alone.
-HELD_BYTES = 1 << 20
+HELD_BYTES = 1 << 18
 _WORD = re.compile(r"[^ \t-\r]+")
 _AFTER = re.compile(r"[ \t\r\v\f]*\n?")
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -56,9 +56,17 @@ _BYTE = np.array([xxhash.xxh64_intdigest(bytes([b]), 1) for b in range(256)], np
 _BASE = 0x9E3779B97F4A7C15
 
 
-@lru_cache(1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64."""
+    """At least the first n powers of the base and of its inverse, modulo 2**64; only those that most batches need are kept."""
+    return _kept_powers() if n <= 2 * HELD_BYTES else _made_powers(n)
+
+
+@lru_cache(1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _made_powers(2 * HELD_BYTES)
+
+
+def _made_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.cumprod(np.append(np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
 
 
@@ -78,7 +86,7 @@ def windows(texts: list[bytes], min_words: int = MIN_WORDS) -> tuple[np.ndarray,
         return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
     doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    power, inverse = _powers(1 << max(HELD_BYTES * 2, len(data)).bit_length())
+    power, inverse = _powers(len(data) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power[: len(data)], dtype=np.uint64)])
     words = _mixed((sums[ends] - sums[starts]) * inverse[starts])
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[:n], dtype=np.uint64)])
@@ -173,7 +181,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     place = F.struct("id", "th", "start")
     elsewhere = (F.col("id") != F.col("first.id")) | (F.col("th") != F.col("first.th"))
     # Windows in a row of one fingerprint, as a whole: later copies are cut, without looking at their windows.
-    found = staged(keyed.mapInArrow(_run_batches(min_words), _RUNS))
+    found = staged(keyed.mapInArrow(returning(_run_batches(min_words)), _RUNS))
     often = staged(sieve(found.select("fp").groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("fp").alias("h"))))
     found = held(found, F.xxhash64("fp"), often)
     kinds = staged(found.groupBy("fp", "run").agg(F.min(place).alias("first"), F.min("n").alias("n"), F.count("*").alias("times")))
@@ -187,7 +195,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = staged(wanted.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set(F.struct("start", "n")).alias("runs")))
     asked = staged(sieve(wanted.select(F.xxhash64("_id", "_th").alias("h"))))
     texts = held(keyed, F.xxhash64("id", "th"), asked).join(wanted.hint("merge"), (F.col("id") == F.col("_id")) & (F.col("th") == F.col("_th"))).select("id", "th", "text", "runs")
-    placed = staged(texts.mapInArrow(_window_batches(min_words), "id long, th long, fp long, whole long, start int"))
+    placed = staged(texts.mapInArrow(returning(_window_batches(min_words)), "id long, th long, fp long, whole long, start int"))
     firsts = placed.groupBy("fp", "whole").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").select("fp", "whole", "first")
     later = placed.join(firsts.hint("merge"), ["fp", "whole"]).where(elsewhere | (F.col("start") >= F.col("first.start") + min_words))
     whole = copies.where("apart").select("id", "th", "start", (F.col("start") + F.col("n") + (min_words - 2)).alias("end"))
@@ -214,4 +222,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return joined.mapInArrow(cut, docs.schema).unionAll(held(docs, key, some, wanted=False))
+    return joined.mapInArrow(returning(cut), docs.schema).unionAll(held(docs, key, some, wanted=False))

@@ -36,10 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import returning
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Bounds of a worker's tables: words of the last two generations, up to so many characters, and token pairs.
-KEPT_WORDS, KEPT_LENGTH, KEPT_PAIRS = 150_000, 48, 200_000
+KEPT_WORDS, KEPT_LENGTH, KEPT_PAIRS = 150_000, 48, 120_000
 #: Characters between which and letters no piece of a model may run, if texts are to be cut there too; checked on loading.
 LETTER, STOP = "A-Za-zÀ-ÖØ-öø-ÿ", ",.\n"
 
@@ -228,6 +230,10 @@ class Codec:
         starts = first < len(ids) and self.kinds[ids[first]] == NORMAL and self.pieces[ids[first]].startswith(MARK)
         return self.joined(ids)[1 if starts and (self.prefix or self.trim) else 0 :]
 
+    def forget(self) -> None:
+        """Lets go of the words."""
+        self.words, self.older = {}, {}
+
     def round_trip(self, text: str | None) -> tuple[int, str, str]:
         """(tokens, ids joined by commas, decoded text) of a whole text."""
         whole = self.normalized(text or "")
@@ -276,17 +282,21 @@ def digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
-        for batch in found:
-            rows = [own.round_trip(t.as_py()) for t in batch.column(1)]
-            sha = lambda i: pa.array([hashlib.sha256(r[i].encode()).hexdigest() for r in rows], pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), sha(1), sha(2)],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        try:
+            for batch in found:
+                rows = [own.round_trip(t.as_py()) for t in batch.column(1)]
+                sha = lambda i: pa.array([hashlib.sha256(r[i].encode()).hexdigest() for r in rows], pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), sha(1), sha(2)],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+                del rows
+        finally:
+            own.forget()
 
     two = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = two.schema["doc_id"].dataType.simpleString()
-    return two.mapInArrow(batches, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return two.mapInArrow(returning(batches), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import staged
+from tidemark.llm.shared import returning, staged
 from tidemark.llm.sieve import fresh, held, sieve
 
 THRESHOLD = 3
@@ -129,7 +129,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): one row per document, fp as a signed long."""
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return two.mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    return two.mapInArrow(returning(_fingerprint_batches), "doc_id long, fp long")
 
 
 def halves(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,8 +246,8 @@ def links(prints: DataFrame, bands: list[str], checks: list[str], levels: tuple[
     """(u, v), u > v: links that span the groups of nodes (column node) which share an anchor of a band and differ in few bits of checks (without any: of node)."""
     # Nodes are small and make many rows, so they are dealt to all tasks, whatever their size.
     rows = prints.select("node", *bands, *checks).repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
-    sizes = rows.select("node", *bands).mapInArrow(_anchor_batches(len(bands), alone=True), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > cell)
-    dealt = rows.mapInArrow(_anchor_batches(len(bands)), "anchor long, node long, home boolean" + "".join(f", {c} long" for c in checks))
+    sizes = rows.select("node", *bands).mapInArrow(returning(_anchor_batches(len(bands), alone=True)), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > cell)
+    dealt = rows.mapInArrow(returning(_anchor_batches(len(bands))), "anchor long, node long, home boolean" + "".join(f", {c} long" for c in checks))
     spread = dealt.join(staged(sizes), "anchor", "left").withColumn("k", F.coalesce(F.ceil(F.col("n") / cell), F.lit(1)).cast("int"))
     # A grid of k x k cells: a home lies in one row of it, a member in one column; each pair meets in one cell.
     mine = F.pmod(F.xxhash64("node"), F.col("k"))
@@ -257,7 +257,7 @@ def links(prints: DataFrame, bands: list[str], checks: list[str], levels: tuple[
     cells = F.when(F.col("k") == 1, single).when(F.col("home"), F.concat(across, down)).otherwise(down)
     met = spread.select("anchor", "node", *checks, F.explode(cells).alias("c")).select("anchor", F.col("c.cell").cast("long").alias("cell"), "node", "c.home", *checks)
     met = met.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
-    return met.mapInArrow(_cell_batches(levels), "u long, v long")
+    return met.mapInArrow(returning(_cell_batches(levels)), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -304,13 +304,13 @@ def similar(docs: DataFrame, text_col: str = "text", cell: int = CELL) -> DataFr
     """(u, v): links that span the groups of texts, by their xxhash64, which share at least SIMILAR of their shingles."""
     keyed = docs.select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
     bands, checks = [f"band{i}" for i in range(SEEDS)], [f"check{i}" for i in range(WORDS)]
-    each = staged(keyed.mapInArrow(_signature_batches, "node long" + "".join(f", {c} long" for c in bands + checks)))
+    each = staged(keyed.mapInArrow(returning(_signature_batches), "node long" + "".join(f", {c} long" for c in bands + checks)))
     nodes = each.groupBy("node").agg(*[F.min(c).alias(c) for c in bands + checks])
     likely = staged(links(nodes, bands, checks, LEVELS, cell).distinct())
     ends = staged(likely.select(F.col("u").alias("node")).unionAll(likely.select(F.col("v").alias("node"))).distinct())
     some = staged(sieve(ends.select(F.xxhash64("node"))))
     texts = held(keyed, F.xxhash64("node"), some).join(ends, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-    sets = staged(texts.mapInArrow(_shingle_batches, "node long, shingles array<long>"))
+    sets = staged(texts.mapInArrow(returning(_shingle_batches), "node long, shingles array<long>"))
     both = likely.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     return both.where(shared >= SIMILAR * (F.size("a") + F.size("b") - shared)).select("u", "v")

@@ -39,13 +39,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import staged
+from tidemark.llm.shared import returning, staged
 
 MAX_TOXIC, MAX_CLEAN, MAX_CANDIDATES, MAX_EXCEPTIONS = 3_000, 9_000, 3_000, 1_000
 MIN_G2, MIN_RATIO, MIN_ROWS, PREFIXES, LONGEST = 30.0, 3, 3, range(4, 9), 30
 #: What marks an entry that a text has more than once.
 AGAIN = " 2"
-COMPANY, HELD_ENTRIES = 0.6, 100_000
+COMPANY, HELD_ENTRIES = 0.6, 50_000
 
 # Characters that look like a Latin letter.
 LOOKALIKES = {
@@ -187,7 +187,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     all_toxic, all_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not all_toxic or not all_clean:
         return Lexicon()
-    totals = staged(rows.mapInArrow(counted, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
+    totals = staged(rows.mapInArrow(returning(counted), "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
     likely = totals.where((F.col("toxic") >= MIN_ROWS) & (F.col("toxic") * all_clean > MIN_RATIO * F.col("clean") * all_toxic))
     found = likely.orderBy(F.desc(F.col("toxic") - F.col("clean") * (all_toxic / all_clean)), "entry").limit(4 * MAX_CANDIDATES).collect()
     rated = {r.entry: (association(r.toxic, r.clean, all_toxic, all_clean), r.toxic, r.clean) for r in found}
@@ -211,7 +211,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([own.raw(t.as_py()) for t in batch.column(0)], pa.float64()), batch.column(1)], names=["raw", "toxic"])
 
-    measured = rows.mapInArrow(raws, "raw double, toxic int").collect()
+    measured = rows.mapInArrow(returning(raws), "raw double, toxic int").collect()
     return Lexicon(weights, exceptions, threshold([(r.raw, r.toxic) for r in measured]))
 
 
@@ -224,7 +224,7 @@ def cover(toxic: DataFrame, clean: dict[str, int], all_toxic: int, all_clean: in
             yield pa.RecordBatch.from_arrays([pa.array(have, pa.list_(pa.string()))], names=["entries"])
 
     holders = defaultdict(set)
-    rows = [r.entries for r in toxic.select("text").mapInArrow(entries, "entries array<string>").collect()]
+    rows = [r.entries for r in toxic.select("text").mapInArrow(returning(entries), "entries array<string>").collect()]
     for i, have in enumerate(rows):
         for e in have:
             holders[e].add(i)
@@ -270,7 +270,7 @@ def phrases(rows: DataFrame, weights: dict[str, tuple[float, float]]) -> frozens
                     out += [(p, label.as_py()) for p in seen]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([n for _, n in out], pa.int32())], names=["phrase", "toxic"])
 
-    counts = rows.mapInArrow(pairs, "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
+    counts = rows.mapInArrow(returning(pairs), "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
     spared = counts.where((F.col("n") - F.col("toxic") >= MIN_ROWS) & (F.col("toxic") * 10 <= F.col("n")))
     return frozenset(r.phrase for r in spared.orderBy(F.desc("n"), "phrase").limit(MAX_EXCEPTIONS).collect())
 
@@ -302,7 +302,7 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.score(t.as_py()) for t in batch.column(1)], pa.float64())], names=["doc_id", "score"])
 
     two = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = two.mapInArrow(scores, "doc_id long, score double")
+    found = two.mapInArrow(returning(scores), "doc_id long, score double")
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -315,4 +315,4 @@ def clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             at = batch.schema.get_field_index("text")
             yield batch.filter(pa.array([own.score(t.as_py()) < 0.5 for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(returning(keep), docs.schema)
