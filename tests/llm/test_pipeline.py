@@ -64,3 +64,34 @@ def test_run(spark, tables):
     found = corpus_pipeline.run(spark, tables[0])
     assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert 302 not in {r.doc_id for r in found.select("doc_id").collect()}
+
+
+def written(spark, where, docs, kind, labels=(), items=()):
+    spark.createDataFrame(docs, kind).write.parquet(f"{where}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
+    return str(where)
+
+
+def test_nulls_empties_repeats_and_clashing_names(spark, tmp_path):
+    long = " ".join(f"w{i}" for i in range(3000))
+    rows = [(1, long), (1, long), (2, None), (3, ""), (None, "a text without a number"), (4, " \n"), (5, "word"), (5, "another word for it"), (None, None), (6, "asked and told before you")]
+    names = ["_id", "_th", "_spans", "_node", "_first", "n_chars", "hash", "score", "at"]
+    kind = "doc_id long, text string, " + ", ".join(f"{n} int" for n in names) + ", a_map map<string,int>"
+    where = written(spark, tmp_path, [(*r, *range(len(names)), {"k": 1}) for r in rows], kind, [(1, None, None), (None, 1, 1), (2, 1, 0)], [(None, "x"), (1, None), (2, "asked and told before you")])
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = staged(stage(spark, kept, where))
+        assert kept.columns == docs.columns, name
+    found = sorted((r.doc_id or 0, r.text or "", r.n_chars or 0) for r in kept.collect())
+    assert found == [(0, "a text without a number", 23), (1, long, len(long)), (2, "", 0), (5, "another word for it", 19), (5, "word", 4)]
+    assert {r.doc_id: r.n_tokens for r in corpus_pipeline.tokenize(spark, kept, where).collect()}[2] == 0
+
+
+def test_empty_tables(spark, tmp_path):
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    where = written(spark, tmp_path / "all", [], kind)
+    assert corpus_pipeline.run(spark, where).count() == 0
+    where = written(spark, tmp_path / "some", [(1, "one text", "en", "s", 8), (2, "and two", "en", "s", 7)], kind)
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, where).collect()) == [1, 2]

@@ -79,3 +79,34 @@ def test_nulls_repeats_no_labels_and_extra_columns(spark):
     assert [(r.score, r.predicted) for r in toxicity.scored(docs, lexicon).collect()] == [(0.0, 0)] * 3
     assert toxicity.clean(docs, lexicon).columns == docs.columns and toxicity.clean(docs, lexicon).count() == 3
     assert toxicity.scored(docs.limit(0), lexicon).count() == 0
+
+
+def test_words_that_tell_only_when_repeated(spark):
+    """As in texts where a word occurs by chance once, and often where it is meant."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abdeiklmnorstu") for _ in range(rng.randint(2, 7)))
+    common = [word() for _ in range(300)]
+    docs, labels = [], []
+    for i in range(600):
+        words = [rng.choice(common) for _ in range(80)]
+        toxic = i % 6 == 0
+        for at in rng.sample(range(80), 3 if toxic else i % 6 == 1):
+            words[at] = "vexorim" + rng.choice(["a", "os", "ent"])
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    lexicon = toxicity.learn(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    found = {r.doc_id: r.predicted for r in toxicity.scored(frame, lexicon).where("held_out").collect()}
+    assert sum(found[i] == int(i % 6 == 0) for i in found) >= 0.98 * len(found)
+    (weights,) = [w for e, w in lexicon.weights.items() if "vexorim".startswith(e)]
+    assert weights[0] < weights[1]
+
+
+def test_very_long_texts_and_ids_with_both_labels(spark):
+    docs, labels = made()
+    docs += [(9000, "word " * 200_000), (9001, "zonker " * 200_000), (9002, "x" * 1_000_000)]
+    labels += [(9000, 1, 0), (9000, 1, 1), (9001, 1, None), (None, 1, 1)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    lexicon = toxicity.learn(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    found = {r.doc_id: r.predicted for r in toxicity.scored(frame, lexicon).where("doc_id >= 9000").collect()}
+    assert found == {9000: 0, 9001: 1, 9002: 0}

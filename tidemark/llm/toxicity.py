@@ -218,13 +218,16 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
 def cover(toxic: DataFrame, clean: dict[str, int], all_toxic: int, all_clean: int) -> list[str]:
     """A greedy cover of the toxic rows (a bounded sample) by entries, heaviest gain first, longest on ties."""
 
+    names = sorted(clean)
+    place = {e: i for i, e in enumerate(names)}
+
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            have = [sorted(features(folded(t.as_py())) & clean.keys()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(have, pa.list_(pa.string()))], names=["entries"])
+            have = [sorted(place[e] for e in features(folded(t.as_py())) & place.keys()) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(have, pa.list_(pa.int32()))], names=["entries"])
 
     holders = defaultdict(set)
-    rows = [r.entries for r in toxic.select("text").mapInArrow(returning(entries), "entries array<string>").collect()]
+    rows = [[names[i] for i in r.entries] for r in toxic.select("text").mapInArrow(returning(entries), "entries array<int>").collect()]
     for i, have in enumerate(rows):
         for e in have:
             holders[e].add(i)
