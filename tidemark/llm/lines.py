@@ -182,7 +182,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     elsewhere = (F.col("id") != F.col("first.id")) | (F.col("th") != F.col("first.th"))
     # Windows in a row of one fingerprint, as a whole: later copies are cut, without looking at their windows.
     found = staged(keyed.mapInArrow(returning(_run_batches(min_words)), _RUNS))
-    often = staged(sieve(found.select("fp").groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("fp").alias("h"))))
+    often = sieve(found.select("fp").groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("fp").alias("h")))
     found = held(found, F.xxhash64("fp"), often)
     kinds = staged(found.groupBy("fp", "run").agg(F.min(place).alias("first"), F.min("n").alias("n"), F.count("*").alias("times")))
     copies = found.join(kinds.where("times > 1").select("fp", "run", "first").hint("merge"), ["fp", "run"]).where(elsewhere | (F.col("start") != F.col("first.start")))
@@ -193,7 +193,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     open_ = kinds.groupBy("fp").agg(F.count("*").alias("k")).where("k > 1").select("fp").unionAll(rest.select("fp")).distinct()
     wanted = kinds.join(open_.hint("merge"), "fp").select("first.id", "first.th", "first.start", "n").unionAll(rest.select("id", "th", "start", "n"))
     wanted = staged(wanted.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set(F.struct("start", "n")).alias("runs")))
-    asked = staged(sieve(wanted.select(F.xxhash64("_id", "_th").alias("h"))))
+    asked = sieve(wanted.select(F.xxhash64("_id", "_th").alias("h")))
     texts = held(keyed, F.xxhash64("id", "th"), asked).join(wanted.hint("merge"), (F.col("id") == F.col("_id")) & (F.col("th") == F.col("_th"))).select("id", "th", "text", "runs")
     placed = staged(texts.mapInArrow(returning(_window_batches(min_words)), "id long, th long, fp long, whole long, start int"))
     firsts = placed.groupBy("fp", "whole").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").select("fp", "whole", "first")
@@ -208,7 +208,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     runs = repeated_runs(docs, id_col, text_col, min_words).groupBy("id", "th").agg(F.collect_set(F.struct("start", "end")).alias(spans))
     runs = staged(runs.withColumnsRenamed({"id": id_, "th": th}))
     own_id, own_th = F.coalesce(docs[id_col].cast("long"), F.lit(LAST)), F.xxhash64(docs[text_col])
-    some, key = staged(sieve(runs.select(F.xxhash64(id_, th).alias("h")))), F.xxhash64(own_id, own_th)
+    some, key = sieve(runs.select(F.xxhash64(id_, th).alias("h"))), F.xxhash64(own_id, own_th)
     joined = held(docs, key, some).join(runs.hint("merge"), (own_id == runs[id_]) & (own_th == runs[th]), "left").select(*[docs[c] for c in docs.columns], spans)
 
     def cut(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -282,7 +282,7 @@ def replaced(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str =
     named = low.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.map_from_entries(F.collect_list(F.struct("low", "kind"))).alias("known"), F.array_sort(F.flatten(F.collect_list("seen"))).alias("seen"))
     again = F.concat(F.lit(ANY + r"|(?<![\p{L}])(?:"), F.array_join(F.reverse("seen"), "|"), F.lit(r")(?![\p{L}])"))
     named = staged(named.select("_id", "_th", "known", again.alias("pattern")))
-    some = staged(sieve(named.select(F.xxhash64("_id", "_th"))))
+    some = sieve(named.select(F.xxhash64("_id", "_th")))
     texts = held(keyed, F.xxhash64("id", "th"), some).join(named.hint("merge"), own).select("id", "th", "text", "known", "pattern").dropDuplicates(["id", "th"])
     second = texts.select("id", "th", "known", F.posexplode(found(F.col("text"), F.col("pattern"))).alias("at", "value")).withColumn("kind", F.coalesce(kind_of(F.col("value")), F.when(F.map_contains_key("known", F.lower("value")), "mention")))
     columns = ["id", "th", "at", "value", "kind", "known"]
@@ -297,7 +297,7 @@ def replaced(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str =
     by_text = done.groupBy("id", "th").agg(F.map_from_entries(F.collect_list(F.struct("at", "text"))).alias(news))
     by_text = by_text.join(named.select("_id", "_th", "pattern").hint("merge"), own, "left").select(F.col("id").alias(ids), F.col("th").alias(ths), news, F.coalesce("pattern", F.lit(ANY)).alias(patterns))
     by_text = staged(by_text)
-    touched = staged(sieve(by_text.select(F.xxhash64(ids, ths))))
+    touched = sieve(by_text.select(F.xxhash64(ids, ths)))
     hashed = F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.xxhash64(f"`{text_col}`"))
     joined = held(docs, hashed, touched).join(by_text.hint("merge"), F.col(f"`{id_col}`").cast("string").eqNullSafe(F.col(ids)) & (F.xxhash64(f"`{text_col}`") == F.col(ths)), "left")
     text, pattern = F.col(f"`{text_col}`"), F.coalesce(F.col(patterns), F.lit(ANY))

@@ -308,7 +308,7 @@ def similar(docs: DataFrame, text_col: str = "text", cell: int = CELL) -> DataFr
     nodes = each.groupBy("node").agg(*[F.min(c).alias(c) for c in bands + checks])
     likely = staged(links(nodes, bands, checks, LEVELS, cell).distinct())
     ends = staged(likely.select(F.col("u").alias("node")).unionAll(likely.select(F.col("v").alias("node"))).distinct())
-    some = staged(sieve(ends.select(F.xxhash64("node"))))
+    some = sieve(ends.select(F.xxhash64("node")))
     texts = held(keyed, F.xxhash64("node"), some).join(ends, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
     sets = staged(texts.mapInArrow(returning(_shingle_batches), "node long, shingles array<long>"))
     both = likely.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
@@ -325,7 +325,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups_ = rooted.groupBy("root").agg(F.min("id").alias("least"), F.sum("n").alias("n")).where("n > 1")
     # Texts of groups of more than one row; all others stay as they are.
     own = staged(rooted.join(groups_.select("root", "least"), "root").select("node", "root", "least"))
-    some = staged(sieve(own.select(F.xxhash64("node"))))
+    some = sieve(own.select(F.xxhash64("node")))
     node, least, root, rest = (fresh(n, docs.columns) for n in ("_node", "_least", "_root", "_rest"))
     key = F.xxhash64(F.xxhash64(text_col))
     maybe = held(docs, key, some).withColumn(node, F.xxhash64(text_col))
