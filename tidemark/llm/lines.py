@@ -191,7 +191,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # First ones are compared window by window where their fingerprint has other runs, or copies that overlap.
     rest = copies.where("not apart")
     open_ = kinds.groupBy("fp").agg(F.count("*").alias("k")).where("k > 1").select("fp").unionAll(rest.select("fp")).distinct()
-    wanted = kinds.join(open_.hint("merge"), "fp").select("first.id", "first.th", "first.start", "n").unionAll(rest.select("id", "th", "start", "n"))
+    again = held(kinds, F.xxhash64("fp"), sieve(open_.select(F.xxhash64("fp"))))  # and a few more, whose windows match none
+    wanted = again.select("first.id", "first.th", "first.start", "n").unionAll(rest.select("id", "th", "start", "n"))
     wanted = staged(wanted.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set(F.struct("start", "n")).alias("runs")))
     asked = sieve(wanted.select(F.xxhash64("_id", "_th").alias("h")))
     texts = held(keyed, F.xxhash64("id", "th"), asked).join(wanted.hint("merge"), (F.col("id") == F.col("_id")) & (F.col("th") == F.col("_th"))).select("id", "th", "text", "runs")

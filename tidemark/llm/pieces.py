@@ -284,13 +284,16 @@ def digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
         own = codec(model)
         try:
             for batch in found:
-                rows = [own.round_trip(t.as_py()) for t in batch.column(1)]
-                sha = lambda i: pa.array([hashlib.sha256(r[i].encode()).hexdigest() for r in rows], pa.string())
+                counts, ids, decoded = [], [], []
+                for text in batch.column(1):
+                    n, numbers, whole = own.round_trip(text.as_py())
+                    counts.append(n)
+                    ids.append(hashlib.sha256(numbers.encode()).hexdigest())
+                    decoded.append(hashlib.sha256(whole.encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), sha(1), sha(2)],
+                    [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
-                del rows
         finally:
             own.forget()
 
