@@ -42,6 +42,7 @@ def test_odd_elements_swallow_nothing(odd):
 def test_names_that_may_mean_something_else():
     body = '<div class="search-results"><p>A result is found here.</p></div><section class="social history"><p>The strike of the weavers began in May. It lasted.</p></section><p>We <span class="share">share</span> it</p>'
     assert html.extract(f"<article>{body}</article>") == "A result is found here. The strike of the weavers began in May. It lasted. We share it"
+    assert html.extract('<article><p hidden>x</p><div style="color:red; display: none">y</div><p class="hidden-print">kept</p><div class="related-posts"><a href=x>More</a></div></article>') == "kept"
     assert html.extract('<article><p>a</p><div class="share"><a href=x>Share</a></div><div class="cookie-notice">b</div><ul class=comments><li>c</ul></article>') == "a"
 
 

@@ -65,10 +65,10 @@ ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"},
     "thead": {"caption"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
 }
-#: Class, id and role names of menus, headers, footers, sidebars, notices, adverts, forms and comments; the last and the first part of a name may say it too.
+#: Class, id and role names of hidden parts, menus, headers, footers, sidebars, notices, adverts, forms and comments; the last and the first part of a name may say it too.
 SURE = set(
     "menu nav navbar navigation breadcrumb breadcrumbs header masthead footer contentinfo sidebar complementary notice notices cookie cookies ad ads advert adverts advertisement "
-    "advertising sponsor sponsored form comment comments commentlist respond disqus newsletter".split()
+    "advertising hidden sponsor sponsored form comment comments commentlist respond disqus newsletter".split()
 )
 LAST = {"menu", "nav", "navbar", "navigation", "footer", "sidebar", "notice", "notices", "ad", "ads", "advert", "adverts", "comment", "comments", "form", "breadcrumbs"}
 FIRST = {"ad", "ads", "advert", "advertisement", "cookie", "cookies", "comment", "comments", "sponsored", "sponsor", "newsletter", "breadcrumb", "breadcrumbs", "sidebar", "disqus"}
@@ -82,6 +82,7 @@ _TOKEN = re.compile(
 )
 _CLOSE = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW.split("|")}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s/]|$|=)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 _DIGITS = re.compile(r"[0-9]+")
 
 
@@ -105,6 +106,8 @@ def streams(page: str | None) -> Iterator[tuple[str, str, str]]:
                 yield "close", tag, ""
             else:
                 names = " ".join(sorted({_DIGITS.sub("0", n.lower()) for x in _NAMES.finditer(m["rest"]) for n in (x[1] or x[2] or x[3] or "").split()})) if m["rest"] else ""
+                if m["rest"] and _HIDDEN.search(m["rest"]):
+                    names = f"hidden {names}".strip()
                 yield "open", tag, f"{tag} {names}" if names else tag
         elif m[0][0] != "<" or m[0] == "<":
             yield "text", m[0], ""
@@ -124,7 +127,7 @@ def boilerplate(key: str) -> int:
         if len(parts) == 1 and name in SURE or len(parts) > 1 and (parts[-1] in LAST or parts[0] in FIRST):
             if tag != "article" or parts[0] in ("comment", "comments", "reply") or parts[-1] in ("comment", "comments"):
                 return 2
-        elif name in WEAK and tag != "article":
+        elif tag != "article" and WEAK.intersection(parts):
             found = 1
     return found
 
