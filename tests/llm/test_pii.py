@@ -101,7 +101,7 @@ def test_more_types(spark):
     new = [re.fullmatch("so (.*) it", found[i].text)[1] for i in range(len(texts))]
     assert all(a != b and len(a) == len(b) and re.sub("[0-9A-Za-z]", "x", a) == re.sub("[0-9A-Za-z]", "x", b) for a, b in zip(texts, new, strict=True)), new
     assert all(luhn(n) and n.startswith("3782") for n in new[:2]) and iban_ok(new[4].replace(" ", "")) and new[4].startswith("GB") and new[7].startswith("eyJ") and new[8].startswith("ghp_")
-    clean = ["version 10.2.1 of 2020-01-02", "the secret: nothing special", "std::vector and add::bad", "GB82 WEST 1234 5698 7654 33 fails its check", "4111111111111112", "at 10:20:30", "000-12-3456", "token ring"]
+    clean = ["version 10.2.1 of 2020-01-02", "the secret: nothing special", "std::vector and add::bad", "GB82 WEST 1234 5698 7654 33 fails its check", "4111111111111112", "7992739871300003 and 7536784127813050", "at 10:20:30", "000-12-3456", "token ring"]
     assert [r.text for _, r in sorted(run(spark, list(enumerate(clean))).items())] == clean
 
 

@@ -1,7 +1,7 @@
 r"""PII surrogates: keyed, type-consistent replacements, with DataFrame functions only.
 
 Entities are e-mail addresses, IP addresses (4 and 6), phone numbers, payment
-cards that pass the Luhn test, IBANs that pass their check, social security
+cards that begin like a network's and pass the Luhn test, IBANs that pass their check, social security
 numbers, access keys, assigned secrets, and names: words after a form of address or
 a known given name, and every further mention of these words in the same text.
 
@@ -63,6 +63,9 @@ CLASSES = ["aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "
 #: Country codes of phone numbers.
 CODE = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 
+#: How card numbers of the networks begin.
+NETWORK = r"^(?:4|5[0-8]|3[04-9]|6[0-57]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720))"
+
 _WORD = r"\p{Lu}[\p{L}'-]+"
 _TITLE = "|".join(TITLES.values())
 _GIVEN = "|".join(sorted({n for names in GIVEN.values() for n in names}, key=lambda n: (-len(n), n)))
@@ -115,7 +118,7 @@ def iban_rest(iban: Column) -> Column:
 def kind_of(value: Column) -> Column:
     """The type of a match; null for a number that only looks like a card or an IBAN."""
     whole = {k: F.regexp_like(value, F.lit(rf"^(?:{PATTERNS[k]})$")) for k in PATTERNS if k != "secret"}
-    out = F.when(whole["card"], F.when(luhn_sum(digits_of(value)) % 10 == 0, "card")).when(whole["iban"], F.when(iban_rest(F.replace(value, F.lit(" "), F.lit(""))) == 1, "iban"))
+    out = F.when(whole["card"], F.when((luhn_sum(digits_of(value)) % 10 == 0) & F.regexp_like(value, F.lit(NETWORK)), "card")).when(whole["iban"], F.when(iban_rest(F.replace(value, F.lit(" "), F.lit(""))) == 1, "iban"))
     for k, test in whole.items():
         if k not in ("card", "iban"):
             out = out.when(test, k)
