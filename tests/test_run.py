@@ -55,7 +55,7 @@ class Stub:
     def await_watermark(self, mark):
         self.calls.append(("await", mark))
 
-    def read_table(self, spec, start_pk=None, end_pk=None, limit=0):
+    def read_table(self, spec, start_pk=None, end_pk=None, limit=0, ordered=True):
         self.calls.append(("table", start_pk, limit))
         keys = sorted(k for k in self.keys if start_pk is None or k >= start_pk)[: limit or None]
         rows = self.spark.createDataFrame([(k, 1) for k in keys], f"sale_id {self.lead}, amount int").orderBy("sale_id")
@@ -63,7 +63,7 @@ class Stub:
             self.during_read()
         return rows
 
-    def read_event_log(self, spec, from_lsn, to_lsn_):
+    def read_event_log(self, spec, from_lsn, to_lsn_, ordered=True):
         self.calls.append(("log", int.from_bytes(from_lsn, "big"), int.from_bytes(to_lsn_, "big")))
         found = [(to_lsn(p), to_lsn(p), op, b"\0", T0, k, 99) for p, k, op in self.events if from_lsn <= to_lsn(p) <= to_lsn_]
         return self.spark.createDataFrame(found, event_schema(spec)) if found else None
@@ -282,7 +282,7 @@ def test_page_is_pinned_between_the_watermarks(spark, tmp_path):
     path = str(tmp_path / "rows")
     spark.createDataFrame([(1, 1), (2, 1)], "sale_id int, amount int").write.parquet(path)
     src = Stub(spark)
-    src.read_table = lambda spec, start_pk=None, end_pk=None, limit=0: spark.read.parquet(path).orderBy("sale_id")
+    src.read_table = lambda spec, start_pk=None, end_pk=None, limit=0, ordered=True: spark.read.parquet(path).orderBy("sale_id")
 
     def late(mark):  # after the page was read, before the frame is used
         spark.createDataFrame([(1, 777)], "sale_id int, amount int").write.mode("overwrite").parquet(path)
@@ -320,14 +320,14 @@ def test_latest_images_are_the_table(spark, seed):
             log.append((100 + len(log), key, op, value))
             table.pop(key) if op == 1 else table.__setitem__(key, value)
 
-    def read_table(spec, start_pk=None, end_pk=None, limit=0):
+    def read_table(spec, start_pk=None, end_pk=None, limit=0, ordered=True):
         write()
         keys = sorted(k for k in table if start_pk is None or k >= start_pk)[:limit]
         rows = spark.createDataFrame([(k, table[k]) for k in keys], row_schema(SPEC))
         write()
         return rows
 
-    def read_event_log(spec, low, high):
+    def read_event_log(spec, low, high, ordered=True):
         found = [(to_lsn(p), to_lsn(p), op, b"\0", T0, k, v) for p, k, op, v in log if low <= to_lsn(p) <= high]
         return conform(spark.createDataFrame(found, event_schema(spec)), event_schema(spec), "log") if found else None
 
@@ -403,7 +403,7 @@ def test_release_of_a_batch(spark):
     result.release()
     assert not any(map(os.path.exists, folders))
     src = Stub(spark)
-    src.read_event_log = lambda *a: 1 / 0
+    src.read_event_log = lambda *a, **k: 1 / 0
     before = set(os.listdir(os.path.dirname(folders[0])))
     with pytest.raises(ZeroDivisionError):
         run(src, state())

@@ -38,14 +38,14 @@ class ChangeSource(Protocol):
     def await_watermark(self, mark: datetime) -> None:
         """Returns when the log consumer has passed the mark; TimeoutError at the deadline."""
 
-    def read_event_log(self, spec: TableSpec, from_lsn: bytes, to_lsn: bytes) -> DataFrame | None:
-        """Events of the closed interval in commit order, or None if there are none."""
+    def read_event_log(self, spec: TableSpec, from_lsn: bytes, to_lsn: bytes, ordered: bool = True) -> DataFrame | None:
+        """Events of the closed interval in commit order (in any, if that is not wanted), or None if there are none."""
 
     def to_events(self, rows: DataFrame, spec: TableSpec, commit_timestamp: datetime | None) -> DataFrame:
         """Table rows in the event schema."""
 
-    def read_table(self, spec: TableSpec, start_pk: int | None = None, end_pk: int | None = None, limit: int = 0) -> DataFrame:
-        """Rows with start_pk <= leading key < end_pk in key order; limit 0 reads all."""
+    def read_table(self, spec: TableSpec, start_pk: int | None = None, end_pk: int | None = None, limit: int = 0, ordered: bool = True) -> DataFrame:
+        """Rows with start_pk <= leading key < end_pk, the first by key up to limit (0: all), in key order (in any, if that is not wanted)."""
 
     def read_pk_range(self, spec: TableSpec) -> tuple[int, int] | None:
         """Least and greatest leading key, or None on an empty table."""

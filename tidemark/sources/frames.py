@@ -176,7 +176,7 @@ class FrameSource:
             time.sleep(self.poll)
         raise TimeoutError(f"the log consumer did not pass {mark} within {self.timeout} s")
 
-    def read_event_log(self, spec: TableSpec, from_lsn: bytes, to_lsn: bytes) -> DataFrame | None:
+    def read_event_log(self, spec: TableSpec, from_lsn: bytes, to_lsn: bytes, ordered: bool = True) -> DataFrame | None:
         check_spec(spec)
         if spec.capture_instance is None:
             raise ValueError(f"{spec.qualified_name} has no capture instance to read a log from")
@@ -188,16 +188,18 @@ class FrameSource:
         schema = event_schema(spec)
         events = conform(events.select(*[F.col(f"`{n}`") for n in schema.names]), schema, f"log of {spec.qualified_name}")
         events = pinned(events)  # read once; what follows reads the copy
-        return None if events.isEmpty() else events.orderBy("start_lsn", "seqval", "operation")
+        if events.isEmpty():
+            return None
+        return events.orderBy("start_lsn", "seqval", "operation") if ordered else events
 
     def to_events(self, rows: DataFrame, spec: TableSpec, commit_timestamp: datetime | None) -> DataFrame:
         return stamped(rows, spec, commit_timestamp)
 
-    def read_table(self, spec: TableSpec, start_pk: int | None = None, end_pk: int | None = None, limit: int = 0) -> DataFrame:
+    def read_table(self, spec: TableSpec, start_pk: int | None = None, end_pk: int | None = None, limit: int = 0, ordered: bool = True) -> DataFrame:
         check_spec(spec)
         check_page(start_pk, end_pk, limit)
         rows = self._table(spec.source_schema, spec.source_table).rows
-        found = page(rows, spec, start_pk, self._upto(spec, rows, start_pk, end_pk, limit), limit)
+        found = page(rows, spec, start_pk, self._upto(spec, rows, start_pk, end_pk, limit), limit, ordered)
         return conform(found, row_schema(spec), f"rows of {spec.qualified_name}")
 
     def _upto(self, spec: TableSpec, rows: DataFrame, start_pk: int | None, end_pk: int | None, limit: int) -> int | None:
@@ -284,10 +286,11 @@ def first_rows(rows: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     return rows.where(F.col(keys[0]) < last).unionAll(first_rows(same, keys[1:], left) if len(keys) > 1 else same.limit(left))
 
 
-def page(rows: DataFrame, spec: TableSpec, start_pk: int | None, end_pk: int | None, limit: int) -> DataFrame:
+def page(rows: DataFrame, spec: TableSpec, start_pk: int | None, end_pk: int | None, limit: int, ordered: bool = True) -> DataFrame:
     """Rows of a key range in key order, at most limit of them (0: all), captured columns only, computed ones NULL."""
     found = rows.where(key_range(F.col(spec.pk_columns[0]), start_pk, end_pk))
-    found = (first_rows(found, spec.pk_columns, limit) if limit else found).orderBy(*spec.pk_columns)
+    found = first_rows(found, spec.pk_columns, limit) if limit else found
+    found = found.orderBy(*spec.pk_columns) if ordered else found
     return found.select(*[F.lit(None).alias(c.name) if c.computed_definition is not None else F.col(f"`{c.name}`") for c in spec.captured_columns])
 
 

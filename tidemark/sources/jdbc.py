@@ -228,18 +228,21 @@ class JdbcSource:
             time.sleep(self.poll)
         raise TimeoutError(f"the log consumer did not pass {mark} within {self.timeout} s")
 
-    def read_event_log(self, spec: TableSpec, from_lsn: bytes, to_lsn: bytes) -> DataFrame | None:
+    def read_event_log(self, spec: TableSpec, from_lsn: bytes, to_lsn: bytes, ordered: bool = True) -> DataFrame | None:
         rows = self._read_in_parts(event_query(spec, from_lsn, to_lsn), window_predicates(from_lsn, to_lsn, self.partitions))
         events = pinned(conform(rows, event_schema(spec), f"log of {spec.qualified_name}"))
-        return None if events.isEmpty() else events.orderBy("start_lsn", "seqval", "operation")
+        if events.isEmpty():
+            return None
+        return events.orderBy("start_lsn", "seqval", "operation") if ordered else events
 
     def to_events(self, rows: DataFrame, spec: TableSpec, commit_timestamp: datetime | None) -> DataFrame:
         return stamped(rows, spec, commit_timestamp)
 
-    def read_table(self, spec: TableSpec, start_pk: int | None = None, end_pk: int | None = None, limit: int = 0) -> DataFrame:
+    def read_table(self, spec: TableSpec, start_pk: int | None = None, end_pk: int | None = None, limit: int = 0, ordered: bool = True) -> DataFrame:
         query = table_query(spec, start_pk, end_pk, limit, self.pagination)
         rows = self._read_in_parts(query, self._key_ranges(spec, start_pk, end_pk)) if not limit else self._read(query)
-        rows = rows.orderBy(*[k for k in spec.pk_columns if k in rows.columns])
+        if ordered:
+            rows = rows.orderBy(*[k for k in spec.pk_columns if k in rows.columns])
         return conform(rows, row_schema(spec), f"rows of {spec.qualified_name}")
 
     def _key_ranges(self, spec: TableSpec, start_pk: int | None, end_pk: int | None) -> list[str]:
