@@ -116,8 +116,8 @@ def test_words_as_brute_force(spark, seed):
 
 def test_columns_named_like_those_used_inside(spark):
     passage = " ".join(f"w{i}" for i in range(60))
-    names = ["_spans", "_id", "_th", "_bucket", "_bits", "_place", "id", "th", "runs", "start"]
-    docs = spark.createDataFrame([(1, f"a {passage}", *range(10)), (2, f"b {passage}", *range(10)), (3, "c", *range(10))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    names = ["_spans", "_id", "_th", "_bucket", "_bits", "_place", "id", "th", "runs", "start", "a.b"]
+    docs = spark.createDataFrame([(1, f"a {passage}", *range(11)), (2, f"b {passage}", *range(11)), (3, "c", *range(11))], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
     found = lines.dedup(docs)
     assert found.schema.names == docs.schema.names
     assert sorted((r.doc_id, r.text, r.start) for r in found.collect()) == [(1, f"a {passage}", 9), (2, "b", 9), (3, "c", 9)]

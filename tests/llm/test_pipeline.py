@@ -76,8 +76,8 @@ def written(spark, where, docs, kind, labels=(), items=()):
 def test_nulls_empties_repeats_and_clashing_names(spark, tmp_path):
     long = " ".join(f"w{i}" for i in range(3000))
     rows = [(1, long), (1, long), (2, None), (3, ""), (None, "a text without a number"), (4, " \n"), (5, "word"), (5, "another word for it"), (None, None), (6, "asked and told before you")]
-    names = ["_id", "_th", "_spans", "_node", "_first", "n_chars", "hash", "score", "at"]
-    kind = "doc_id long, text string, " + ", ".join(f"{n} int" for n in names) + ", a_map map<string,int>"
+    names = ["_id", "_th", "_spans", "_node", "_first", "n_chars", "hash", "score", "at", "a.b"]
+    kind = "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names) + ", a_map map<string,int>"
     where = written(spark, tmp_path, [(*r, *range(len(names)), {"k": 1}) for r in rows], kind, [(1, None, None), (None, 1, 1), (2, 1, 0)], [(None, "x"), (1, None), (2, "asked and told before you")])
     docs = spark.read.parquet(f"{where}/documents.parquet")
     kept = docs

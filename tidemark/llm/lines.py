@@ -210,17 +210,19 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     runs = staged(runs.withColumnsRenamed({"id": id_, "th": th}))
     own_id, own_th = F.coalesce(docs[id_col].cast("long"), F.lit(LAST)), F.xxhash64(docs[text_col])
     some, key = sieve(runs.select(F.xxhash64(id_, th).alias("h"))), F.xxhash64(own_id, own_th)
-    joined = held(docs, key, some).join(runs.hint("merge"), (own_id == runs[id_]) & (own_th == runs[th]), "left").select(*[docs[c] for c in docs.columns], spans)
+    joined = held(docs, key, some).join(runs.hint("merge"), (own_id == runs[id_]) & (own_th == runs[th]), "left").select(*[F.col(f"`{c}`") for c in docs.columns], spans)
+
+    names, at = docs.columns, docs.columns.index(text_col)
 
     def cut(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            at = batch.schema.get_field_index(text_col)
             lists = batch.column(batch.num_columns - 1)
             own = iter(zip(*(lists.flatten().field(k).to_pylist() for k in (0, 1)), strict=True))
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
             texts = [without(t, list(islice(own, n))) if n else t for t, n in zip(batch.column(at).to_pylist(), sizes, strict=True)]
             columns = batch.columns[:-1]
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(returning(cut), docs.schema).unionAll(held(docs, key, some, wanted=False))
+    plain = joined.toDF(*[f"c{i}" for i in range(len(names) + 1)])  # mapInArrow takes no names with dots
+    return plain.mapInArrow(returning(cut), docs.schema).unionAll(held(docs, key, some, wanted=False))

@@ -56,4 +56,4 @@ def held(rows: DataFrame, key_hash: Column, own: Sieve, wanted: bool = True) ->
     side = F.broadcast(own.bitmaps.select(F.col("bucket").alias(bucket), F.col("bits").alias(bits)))
     byte = F.conv(F.hex(F.substring(F.col(bits), (F.col(place) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     one = F.coalesce(F.getbit(byte, (F.col(place) % 8).cast("int")) == 1, F.lit(False))
-    return asked.join(side, bucket, "left").where(one if wanted else ~one).select(*[rows[c] for c in rows.columns])
+    return asked.join(side, bucket, "left").where(one if wanted else ~one).select(*[F.col(f"`{c}`") for c in rows.columns])

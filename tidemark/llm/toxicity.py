@@ -312,10 +312,12 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 def clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """The rows of docs, all columns, that are not toxic."""
 
+    names, at = docs.columns, docs.columns.index("text")
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = matcher(lexicon)
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            yield batch.filter(pa.array([own.score(t.as_py()) < 0.5 for t in batch.column(at)], pa.bool_()))
+            kept = batch.filter(pa.array([own.score(t.as_py()) < 0.5 for t in batch.column(at)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns, names=names)
 
-    return docs.mapInArrow(returning(keep), docs.schema)
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(returning(keep), docs.schema)  # which takes no names with dots
