@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import staged
 
-BUCKETS, BITS, SPARE = 4096, 8 * 4096, 24
+BUCKETS, BITS, SPARE = 4096, 8 * 4096, 64
 
 
 @dataclass(frozen=True)
