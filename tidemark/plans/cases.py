@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.log import configure_logging
 from tidemark.functions.lsn import successor, to_lsn
+from tidemark.functions.pinned import pinned
 from tidemark.operators.merge import merge_chunk, merge_order, supersede
 from tidemark.operators.run import batches, capture_batch, opening_state, state_at_lsn
 from tidemark.plans import world
@@ -46,8 +47,11 @@ def expected(rows: dict[str, str]) -> str:
 
 
 def placed(df: DataFrame) -> DataFrame:
-    """df with each row's place in its order (from 0): partitions are counted, no task holds all rows."""
-    own = df.withColumn("_id", F.monotonically_increasing_id()).withColumns({"_part": F.shiftright("_id", 33), "_row": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
+    """df with each row's place in its order (from 0): partitions are counted, no task holds all rows.
+
+    It is sorted once and pinned: a second sort draws other bounds, and fewer columns make other partitions.
+    """
+    own = pinned(df.withColumn("_id", F.monotonically_increasing_id())).withColumns({"_part": F.shiftright("_id", 33), "_row": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
     counts = sorted(tuple(r) for r in own.groupBy("_part").count().collect())  # a row for each partition
     offsets, before = [], 0
     for part, n in counts:
