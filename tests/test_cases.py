@@ -1,6 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
-from tidemark.plans.cases import placed
+from tidemark.plans.cases import QUERIES, placed
+
+SF = "/root/testdata/sf0.01"
 
 
 def test_places_of_a_frame_that_sorts_into_several_partitions(spark):
@@ -16,3 +19,19 @@ def test_places_of_a_frame_that_sorts_into_several_partitions(spark):
     finally:
         for name in several:
             spark.conf.unset(name)
+
+
+@pytest.fixture
+def several(spark):
+    """Sorted frames have several partitions, whose bounds are drawn from few rows."""
+    own = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.rangeExchange.sampleSizePerPartition": "5"}
+    for name, value in own.items():
+        spark.conf.set(name, value)
+    yield
+    for name in own:
+        spark.conf.unset(name)
+
+
+def test_lsn_order_of_several_partitions(spark, several):
+    found = QUERIES["lsn_order"](spark, SF)
+    assert found.where("number <> place").count() == 0 and found.count() == 10_000
