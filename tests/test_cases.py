@@ -40,3 +40,8 @@ def test_lsn_order_of_several_partitions(spark, several):
 def test_event_order_of_several_partitions(spark, several):
     rows = sorted(tuple(r) for r in QUERIES["event_order"](spark, SF).collect())
     assert [r[0] for r in rows] == list(range(10_000)) and [r[1:] for r in rows] == sorted(r[1:] for r in rows)
+
+
+def test_page_order_of_several_partitions(spark, several):
+    found = QUERIES["page_order"](spark, SF)
+    assert found.where("place <> c_custkey").count() == 0 and found.count() == 1_500
