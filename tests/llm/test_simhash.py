@@ -151,3 +151,34 @@ def test_near_dedup_of_odd_columns_and_repeated_ids(spark):
     found = simhash.near_dedup(docs)
     assert found.schema.names == docs.schema.names
     assert sorted((r.doc_id or 0, (r.text or "")[:7], r._first) for r in found.collect()) == [(0, "", 1), (1, "another", 2), (1, "w0 w1 w", 4)]
+
+
+def test_similar_texts_are_linked_though_a_nearer_neighbour_is_not(spark):
+    """Every pair from 0.8 on is in one group, also in large families where most neighbours are less similar than that."""
+    rng = np.random.default_rng(9)
+    texts = []
+    for family in range(4):
+        base = [f"f{family}x{k}" for k in rng.integers(0, 10**6, 90).tolist()]
+        for _ in range(60):
+            words = list(base)
+            for at in rng.choice(90, rng.integers(1, 6), replace=False).tolist():
+                words[at] = f"e{rng.integers(0, 10**6)}"
+            texts.append(" ".join(words))
+    texts += ["a b c d e f g h", "a b c d e f g h i", "A b c  d e f g h", " \n", "", "one two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    node = {r.doc_id: r.node for r in docs.select("doc_id", F.xxhash64("text").alias("node")).collect()}
+    for cell in (30, 8192):
+        found = {r.node: r.root for r in simhash.components(simhash.similar(docs, cell=cell)).collect()}
+        root = {d: d for d in node}
+        for a in node:
+            for b in range(a):
+                if similarity(texts[a], texts[b]) >= 0.8 and root[a] != root[b]:
+                    old = root[a]
+                    root = {d: root[b] if r == old else r for d, r in root.items()}
+        groups = {}
+        for d in node:
+            groups.setdefault(found.get(node[d], node[d]), set()).add(d)
+        brute = {}
+        for d, r in root.items():
+            brute.setdefault(r, set()).add(d)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, brute.values()))

@@ -15,8 +15,7 @@ anchor, finds every link exactly, with no cap.
 ``near_dedup`` links texts of which at least ``SIMILAR`` of the 5-word shingles are
 shared (Jaccard).  A few changed words change many shingles, and with them
 more bits than anchors can cover; so a text is dealt by fingerprints of its
-single words, ``SEEDS`` of them, of which near copies change few bits (recall: see
-the README).  Where two texts meet at an anchor, fingerprints of their 5-word shingles
+single words, ``SEEDS`` of them, of which near copies change few bits.  Where two texts meet at an anchor, fingerprints of their 5-word shingles
 of 64 * ``WORDS`` bits are compared, and links that these show are checked by the
 shingles themselves.
 
@@ -30,6 +29,10 @@ Work and memory at scale:
   most one row per member), the closest first, never all pairs of a group of near copies;
 * components come from alternating large-star / small-star rounds on
   checkpointed edge tables; the driver only sees one count per round;
+* a forest of links that the shingles then refute may leave out others that they would
+  not, and some similar texts meet at no anchor; so texts that share one of the least
+  fifth of their shingles' hashes, as every two with a similarity of ``SIMILAR`` do, and that are in
+  different groups yet, are compared as well: all of them, the nearest first, in rounds;
 * a sieve of bounded size keeps texts without a link from being shuffled.
 
 Defined results: null text counts as empty; texts without words have
@@ -41,6 +44,7 @@ and name, are ignored by ``groups`` and kept by ``near_dedup``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,6 +61,9 @@ CELL, SMALL = 8192, 8
 SHINGLE = 3
 #: Of near_dedup: words a shingle, the least similarity, fingerprints of single words, 64-bit words of a shingle fingerprint, and its bits that may differ, closest first.
 SHINGLE_STAGE, SIMILAR, SEEDS, WORDS, LEVELS = 5, 0.8, 2, 4, (16, 32, 52)
+#: Texts with a similarity of SIMILAR differ in about 39 of 256 bits, give or take 6 (with FEW shingles in up to 48), so next to no pair differs in more than BITS (with few, else).
+#: Of large groups, the nearest neighbours are looked at in rounds, from one bound to the next.
+FEW, BITS, NEAREST = 20, (80, 68), (0, 64, 1024, 1 << 62)
 _STEP = 1 << 13
 
 #: Syndrome of every 16-bit low part and 15-bit high part of a 31-bit value:
@@ -102,22 +109,32 @@ def _spread(hashes: np.ndarray, words: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def signature(text: str | None) -> np.ndarray:
-    """SEEDS fingerprints of a text's distinct words, then WORDS words of the fingerprint of its distinct shingles."""
+def _signature(text: str | None) -> tuple[np.ndarray, tuple[int, np.ndarray]]:
+    """The signature of a text, the number of its distinct shingles, and the least of their hashes, in order: so many that two texts with a similarity of SIMILAR share one."""
     words = (text or "").encode().lower().split()
-    out = []
+    out, digest = [], xxhash.xxh64_intdigest
     for parts, n in ((set(words), SEEDS), (set(_shingles(words, SHINGLE_STAGE)), WORDS)):
-        digest = xxhash.xxh64_intdigest
         hashes = np.fromiter((digest(p, 42) for p in parts), np.uint64, len(parts))
         out.append(_majority(_spread(hashes, n)) if parts else np.zeros(n, np.uint64))
-    return np.concatenate(out)
+    hashes = np.unique(hashes)
+    # A pair shares SIMILAR of either's shingles, so the least shared one is among these; texts without words meet at 0.
+    prefix = hashes[: len(hashes) - math.ceil(SIMILAR * len(hashes) - 1e-6) + 1] if len(hashes) else np.zeros(1, np.uint64)
+    return np.concatenate(out), (max(len(hashes), 1), prefix)
+
+
+def signature(text: str | None) -> np.ndarray:
+    """SEEDS fingerprints of a text's distinct words, then WORDS words of the fingerprint of its distinct shingles."""
+    return _signature(text)[0]
 
 
 def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = np.array([signature(t.as_py()) for t in batch.column(1)], np.uint64).reshape(-1, SEEDS + WORDS).view(np.int64)
-        names = ["node", *[f"band{i}" for i in range(SEEDS)], *[f"check{i}" for i in range(WORDS)]]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(c)) for c in rows.T]], names=names)
+        both = [_signature(t.as_py()) for t in batch.column(1)]
+        rows = np.array([s for s, _ in both], np.uint64).reshape(-1, SEEDS + WORDS).view(np.int64)
+        names = ["node", *[f"band{i}" for i in range(SEEDS)], *[f"check{i}" for i in range(WORDS)], "n", "prefix"]
+        both = [p for _, p in both]
+        sizes, lists = pa.array([n for n, _ in both], pa.int64()), pa.array([p.view(np.int64) for _, p in both], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(c)) for c in rows.T], sizes, lists], names=names)
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,6 +211,30 @@ def forest(nodes: np.ndarray, checks: np.ndarray, homes: np.ndarray, levels: tup
     return [(max(a, b), min(a, b)) for a, b in edges if a != b]
 
 
+def _by_cell(compared):
+    """For mapInArrow over rows (anchor, cell, ...) sorted by these: compared() is given runs of complete cells."""
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, ...]] = []
+        for batch in found:
+            if not batch.num_rows:
+                continue
+            rows = tuple(c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
+            if not kept or (kept[-1][0][-1], kept[-1][1][-1]) != (rows[0][-1], rows[1][-1]):
+                cut = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+                cut = cut[-1] + 1 if len(cut) else 0
+                done = [*kept, tuple(r[:cut] for r in rows)]
+                if sum(len(r[0]) for r in done):
+                    yield from compared(done)
+                kept = [tuple(r[cut:] for r in rows)]
+            else:
+                kept.append(rows)
+        if kept:
+            yield from compared(kept)
+
+    return batches
+
+
 def _cell_batches(levels: tuple[int, ...]):
     """Rows (anchor, cell, node, home, checks) come sorted by anchor and cell; a cell is compared when it is complete."""
 
@@ -221,42 +262,76 @@ def _cell_batches(levels: tuple[int, ...]):
         if len(u):
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, ...]] = []
-        for batch in found:
-            if not batch.num_rows:
-                continue
-            rows = tuple(c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
-            if not kept or (kept[-1][0][-1], kept[-1][1][-1]) != (rows[0][-1], rows[1][-1]):
-                cut = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
-                cut = cut[-1] + 1 if len(cut) else 0
-                done = [*kept, tuple(r[:cut] for r in rows)]
-                if sum(len(r[0]) for r in done):
-                    yield from compared(done)
-                kept = [tuple(r[cut:] for r in rows)]
-            else:
-                kept.append(rows)
-        if kept:
-            yield from compared(kept)
+    return _by_cell(compared)
 
-    return batches
 
+def _meeting_batches(least: int, most: int):
+    """Rows (anchor, cell, node, home, label, n, left, checks) sorted by anchor and cell: every pair of nodes of different labels that may be similar, in
+    cells of up to SMALL rows at once; of larger cells, those among a home's nearest from the least-th to before the most-th. A row (u, u): there are more.
+    n is a node's number of shingles, left of which are not before the anchor in order."""
 
-def links(prints: DataFrame, bands: list[str], checks: list[str], levels: tuple[int, ...] = (THRESHOLD,), cell: int = CELL) -> DataFrame:
-    """(u, v), u > v: links that span the groups of nodes (column node) which share an anchor of a band and differ in few bits of checks (without any: of node)."""
-    # Nodes are small and make many rows, so they are dealt to all tasks, whatever their size.
-    rows = prints.select("node", *bands, *checks).repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
-    sizes = rows.select("node", *bands).mapInArrow(returning(_anchor_batches(len(bands), alone=True)), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > cell)
-    dealt = rows.mapInArrow(returning(_anchor_batches(len(bands))), "anchor long, node long, home boolean" + "".join(f", {c} long" for c in checks))
-    spread = dealt.join(staged(sizes), "anchor", "left").withColumn("k", F.coalesce(F.ceil(F.col("n") / cell), F.lit(1)).cast("int"))
+    def compared(rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        anchor, cell, node, home, label, n, left, *checks = (np.concatenate(c) for c in zip(*rows, strict=True))
+        home = home > 0
+        checks = np.stack(checks, axis=1).view(np.uint64)
+        starts = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (cell[1:] != cell[:-1])])
+        sizes = np.diff(np.r_[starts, len(anchor)])
+        group, small = np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes <= SMALL, sizes)
+        for step in range(1, min(SMALL, len(group))) if not least else ():
+            i = np.flatnonzero(small[:-step] & (group[:-step] == group[step:]) & (label[:-step] != label[step:]))
+            i = i[_may_link(n[i], left[i], n[i + step], left[i + step], _apart(checks[i], checks[i + step]))]
+            if len(i):
+                yield _pairs(node[i], node[i + step])
+        several = np.maximum.reduceat(label, starts) != np.minimum.reduceat(label, starts)
+        for k in np.flatnonzero((sizes > SMALL) & several).tolist():
+            own = slice(starts[k], starts[k] + sizes[k])
+            nodes, labels, marks, sizes_, lefts = node[own], label[own], checks[own], n[own], left[own]
+            for h in np.flatnonzero(home[own]).tolist():
+                bits = _apart(marks, marks[h])
+                near = np.flatnonzero(_may_link(sizes_, lefts, sizes_[h], lefts[h], bits))
+                if not (labels[near] != labels[h]).any():
+                    continue
+                near = near[np.argsort(bits[near], kind="stable")]
+                other = near[least:most]
+                other = other[labels[other] != labels[h]]
+                if len(other):
+                    yield _pairs(np.full(len(other), nodes[h]), nodes[other])
+                if (labels[near[most:]] != labels[h]).any():
+                    yield _pairs(nodes[h : h + 1], nodes[h : h + 1])
+
+    return _by_cell(compared)
+
+
+def _may_link(n: np.ndarray, left: np.ndarray, m: np.ndarray, right: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether texts of n and m shingles may be similar, if the first of those that they share leaves left and right of them; and their fingerprints allow it."""
+    enough = (1 + SIMILAR) * np.minimum(left, right) >= SIMILAR * (n + m) - 1e-6
+    return enough & (bits <= np.where(np.minimum(n, m) < FEW, *BITS))
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
+
+
+def _in_cells(dealt: DataFrame, sizes: DataFrame, more: list[str], cell: int) -> DataFrame:
+    """Rows (anchor, node, home, more) as (anchor, cell, node, home, more), sorted by anchor and cell; sizes: (anchor, n) of those with more than cell rows."""
+    spread = dealt.join(sizes.select("anchor", F.ceil(F.col("n") / cell).cast("int").alias("k")), "anchor", "left").withColumn("k", F.coalesce("k", F.lit(1)))
     # A grid of k x k cells: a home lies in one row of it, a member in one column; each pair meets in one cell.
     mine = F.pmod(F.xxhash64("node"), F.col("k"))
     across = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.struct((mine * F.col("k") + i).alias("cell"), F.lit(True).alias("home")))
     down = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.struct((i * F.col("k") + mine).alias("cell"), F.lit(False).alias("home")))
     single = F.array(F.struct(F.lit(0).cast("long").alias("cell"), F.col("home")))
     cells = F.when(F.col("k") == 1, single).when(F.col("home"), F.concat(across, down)).otherwise(down)
-    met = spread.select("anchor", "node", *checks, F.explode(cells).alias("c")).select("anchor", F.col("c.cell").cast("long").alias("cell"), "node", "c.home", *checks)
-    met = met.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
+    met = spread.select("anchor", "node", *more, F.explode(cells).alias("c")).select("anchor", F.col("c.cell").cast("long").alias("cell"), "node", "c.home", *more)
+    return met.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
+
+
+def links(prints: DataFrame, bands: list[str], checks: list[str], levels: tuple[int, ...] = (THRESHOLD,), cell: int = CELL) -> DataFrame:
+    """(u, v), u > v: links that span the groups of nodes (column node) which share an anchor of a band and differ in few bits of checks (without any: of node)."""
+    # Nodes are small and make many rows, so they are dealt to all tasks, whatever their size.
+    rows = prints.select("node", *bands, *checks).repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
+    sizes = rows.select("node", *bands).mapInArrow(returning(_anchor_batches(len(bands), alone=True)), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > cell)
+    dealt = rows.mapInArrow(returning(_anchor_batches(len(bands))), "anchor long, node long, home boolean" + "".join(f", {c} long" for c in checks))
+    met = _in_cells(dealt, staged(sizes), checks, cell)
     return met.mapInArrow(returning(_cell_batches(levels)), "u long, v long")
 
 
@@ -300,20 +375,45 @@ def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
 
-def similar(docs: DataFrame, text_col: str = "text", cell: int = CELL) -> DataFrame:
-    """(u, v): links that span the groups of texts, by their xxhash64, which share at least SIMILAR of their shingles."""
-    keyed = docs.select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
-    bands, checks = [f"band{i}" for i in range(SEEDS)], [f"check{i}" for i in range(WORDS)]
-    each = staged(keyed.mapInArrow(returning(_signature_batches), "node long" + "".join(f", {c} long" for c in bands + checks)))
-    nodes = each.groupBy("node").agg(*[F.min(c).alias(c) for c in bands + checks])
-    likely = staged(links(nodes, bands, checks, LEVELS, cell).distinct())
+def _linked(likely: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) whose texts, by node in keyed, share at least SIMILAR of their shingles."""
     ends = staged(likely.select(F.col("u").alias("node")).unionAll(likely.select(F.col("v").alias("node"))).distinct())
     some = sieve(ends.select(F.xxhash64("node")))
     texts = held(keyed, F.xxhash64("node"), some).join(ends, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
     sets = staged(texts.mapInArrow(returning(_shingle_batches), "node long, shingles array<long>"))
     both = likely.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
-    return both.where(shared >= SIMILAR * (F.size("a") + F.size("b") - shared)).select("u", "v")
+    return staged(both.where(shared >= SIMILAR * (F.size("a") + F.size("b") - shared)).select("u", "v"))
+
+
+def similar(docs: DataFrame, text_col: str = "text", cell: int = CELL) -> DataFrame:
+    """(u, v): links that span the groups of texts, by their xxhash64, which share at least SIMILAR of their shingles."""
+    keyed = docs.select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
+    bands, checks = [f"band{i}" for i in range(SEEDS)], [f"check{i}" for i in range(WORDS)]
+    each = keyed.mapInArrow(returning(_signature_batches), "node long" + "".join(f", {c} long" for c in bands + checks) + ", n long, prefix array<long>")
+    each = staged(each)
+    nodes = each.groupBy("node").agg(*[F.min(c).alias(c) for c in bands + checks])
+    found = _linked(staged(links(nodes, bands, checks, LEVELS, cell).distinct()), keyed)
+
+    # What the forests left out, as a link of theirs did not hold, and what met at no anchor: texts that share a shingle of their prefixes.
+    more = ["n", "left", *checks]
+    keys = each.select("node", "n", *checks, F.posexplode("prefix").alias("at", "anchor")).select("anchor", "node", "n", (F.col("n") - F.col("at")).alias("left"), *checks)
+    counts = keys.groupBy("anchor").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
+    counts = staged(counts.where("low <> high").select("anchor", "n"))
+    shared = held(keys, F.xxhash64("anchor"), sieve(counts.select(F.xxhash64("anchor"))))
+    shared = staged(shared.join(counts.select("anchor"), "anchor", "left_semi").distinct())
+    sizes = staged(counts.where(F.col("n") > cell))
+    for least, most in zip(NEAREST, NEAREST[1:], strict=False):
+        roots = components(found).select("node", F.col("root").alias("label"))
+        rows = shared.join(roots, "node", "left").select("anchor", "node", F.lit(True).alias("home"), F.coalesce("label", "node").alias("label"), *more)
+        # Groups of one label have nothing more to find.
+        apart = rows.groupBy("anchor").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("anchor")
+        met = _in_cells(rows.join(apart, "anchor", "left_semi"), sizes, ["label", *more], cell)
+        likely = staged(met.mapInArrow(returning(_meeting_batches(least, most)), "u long, v long").distinct())
+        found = staged(found.unionAll(_linked(likely.where("u <> v"), keyed)))
+        if likely.where("u = v").isEmpty():
+            break
+    return found
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL) -> DataFrame:
