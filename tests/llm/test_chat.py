@@ -78,3 +78,21 @@ def test_long_repeated_null_and_extra(spark):
     assert found[5].n_turns == 3000 and found[5].loss_sha256 == sha("".join(f"t{i}" for i in range(1, 3000, 2)))
     assert found[6].turns_sha256 == sha("\nx\n\nx\n")
     assert chat.digests(chat.examples(turns.limit(0))).count() == 0
+
+
+def test_every_example_is_written_out_with_its_whole_context(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(c or None, t, rng.choice(["user", "assistant", None]), rng.choice(["", "x\\", "### y", "</turn>" * 9, "z" * 50])) for c in range(30) for t in range(rng.randint(1, 12))]
+    turns = spark.createDataFrame([*rows, *chat.PROBE], SCHEMA)
+    for part in (40, 1 << 20):
+        monkeypatch.setattr(chat, "PART", part)  # contexts in several rows
+        whole, texts = chat.written_out(chat.examples(turns)), {}
+        for r in sorted(whole.collect(), key=lambda r: (r.conv_id or 0, r.example, r.part)):
+            texts.setdefault((r.conv_id, r.example), []).append(r.context + (r.reply or ""))
+        for c in {r[0] for r in rows}:
+            said = [(role or "", text) for own, _, role, text in rows if own == c]
+            ends = [i + 1 for i, (role, _) in enumerate(said) if role == "assistant" or i + 1 == len(said)]
+            assert [chat.read("".join(texts[c, k])) for k in range(len(ends))] == [said[:n] for n in ends]
+        found = {r.conv_id: r for r in chat.read_back(whole).collect()}
+        assert found == {r.conv_id: r for r in chat.digests(chat.examples(turns)).collect()}
+        assert all(r.formatted_chars == sum(len("".join(t)) for (c, _), t in texts.items() if c == r.conv_id) for r in found.values())

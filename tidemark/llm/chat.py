@@ -13,15 +13,16 @@ back is exact.
 before as ``context``, the reply, and the places of the trainable text, counted
 from the example's beginning.  What comes before ``context`` is told by
 reference: it is contexts and replies of the conversation's earlier rows, the
-first ``context_chars`` characters of which are the example's whole context.  So the
-output grows with the input, not with its square.  ``expanded`` writes out the
-contexts too, in one pass over each conversation; that is quadratic in a
-conversation's length by its nature.
+first ``context_chars`` characters of which are the example's whole context.  So these
+rows grow with the input, not with its square.  ``written_out`` is the whole
+expansion, each example with all of its context, and ``read_back`` reads every one of them; that
+is quadratic in a conversation's length by its nature.  ``expanded`` has a row for
+each answered example.
 
-Rows are dealt by conversation, sorted and streamed: no task holds a
-conversation, and a context of more than ``PART`` characters goes on in another
-row.  A conversation's digest is sequential, so one conversation is streamed by
-one task, however long it is.
+Rows are dealt by conversation, sorted and streamed; a context of more than ``PART``
+characters goes on in another row.  No task of ``examples`` holds a conversation,
+``written_out`` holds the formatted text of one.  A conversation's digest is sequential, so one
+conversation is streamed by one task, however long it is.
 
 Defined results: turns with a null number come first, ties are ordered by role
 and text; null text is empty, a null role is ""; rows with a null conv_id are
@@ -147,6 +148,70 @@ def expanded(written: DataFrame) -> DataFrame:
     return rows.mapInArrow(lambda batches: _in_batches(_prefixed(_rows(batches)), EXPANDED), EXPANDED)
 
 
+def _written_out(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """From rows of examples(): those of each example with all that comes before it, in blocks of about PART characters."""
+    now, blocks, tail, written = object(), [], "", None
+    for conv, example, part, context, reply, start, end, context_chars in rows:
+        if conv != now:
+            now, blocks, tail, written = conv, [], "", None
+        if example != written:  # what the example's first row refers to
+            yield from ((conv, example, at, block, None, None, None, None) for at, block in enumerate(blocks))
+            context_, written = tail + context, example
+        else:
+            context_ = context
+        yield conv, example, len(blocks) + part, context_, reply, start, end, context_chars
+        tail += context + (reply or "")
+        if len(tail) > PART or reply is None:
+            blocks.append(tail)
+            tail = ""
+
+
+def written_out(written: DataFrame) -> DataFrame:
+    """The rows of examples(), conversations whole and in order in a partition, as rows in which every example's contexts are its whole context."""
+    return written.mapInArrow(lambda batches: _in_batches(_written_out(_rows(batches)), EXAMPLES), EXAMPLES)
+
+
+class _WholeDigest:
+    """Of a conversation's examples as written out: each is read whole, the last one has all turns."""
+
+    def __init__(self, conv: int | None):
+        self.conv, self.example, self.loss, self.formatted, self.loss_sha = conv, None, 0, 0, hashlib.sha256()
+
+    def add(self, example: int, context: str, reply: str | None, start: int | None, end: int | None) -> None:
+        if example != self.example:
+            self.example, self.size, self.turns, self.turns_sha = example, 0, 0, hashlib.sha256()
+        whole = context + (reply or "")
+        for role, text in read(whole):
+            self.turns += 1
+            self.turns_sha.update(f"{role}\n{text}\n".encode())
+        if reply is not None:
+            trained = unescaped(whole[start - self.size : end - self.size])
+            self.loss += len(trained)
+            self.loss_sha.update(trained.encode())
+        self.size += len(whole)
+        self.formatted += len(whole)
+
+    def row(self) -> tuple:
+        return self.conv, self.turns, self.turns_sha.hexdigest(), self.loss, self.loss_sha.hexdigest(), self.formatted
+
+
+def _read_back(rows: Iterator[tuple]) -> Iterator[tuple]:
+    now: _WholeDigest | None = None
+    for conv, example, _, context, reply, start, end, _ in rows:
+        if now is None or conv != now.conv:
+            if now is not None:
+                yield now.row()
+            now = _WholeDigest(conv)
+        now.add(example, context, reply, start, end)
+    if now is not None:
+        yield now.row()
+
+
+def read_back(whole: DataFrame) -> DataFrame:
+    """What reading every example of written_out() gives, a row for each conversation; all lengths are those of the text that is there."""
+    return whole.mapInArrow(lambda batches: _in_batches(_read_back(_rows(batches)), DIGESTS), DIGESTS)
+
+
 class _Digest:
     def __init__(self, conv: int | None):
         self.conv, self.turns, self.loss, self.formatted, self.open = conv, 0, 0, 0, 0

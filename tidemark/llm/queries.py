@@ -61,7 +61,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat.digests(chat.examples(turns.unionAll(spark.createDataFrame(chat.PROBE, turns.schema))))
+    every = chat.examples(turns.unionAll(spark.createDataFrame(chat.PROBE, turns.schema)))
+    return chat.read_back(chat.written_out(every))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
