@@ -182,3 +182,42 @@ def test_similar_texts_are_linked_though_a_nearer_neighbour_is_not(spark):
         for d, r in root.items():
             brute.setdefault(r, set()).add(d)
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, brute.values()))
+
+
+def test_rows_do_not_grow_with_the_square_of_a_group_of_near_copies(spark, monkeypatch):
+    """Copies with changed words of their own and with words that many change alike, most of them less similar than 0.8: every link is found, with no more rows than places in prefixes."""
+    rng = np.random.default_rng(12)
+    texts = []
+    for family in range(2):
+        base = [f"f{family}x{k}" for k in rng.integers(0, 10**6, 90).tolist()]
+        for _ in range(120):
+            words = list(base)
+            for at in rng.choice(90, 2, replace=False).tolist():
+                words[at] = f"b{at}" if family else f"e{rng.integers(0, 10**6)}"
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    node = {r.doc_id: r.node for r in docs.select("doc_id", F.xxhash64("text").alias("node")).collect()}
+    rows, staged = [], simhash.staged
+
+    def counted(frame):
+        out = staged(frame)
+        if out.columns == ["u", "v"]:
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "staged", counted)
+    monkeypatch.setattr(simhash, "HELD", 1500, raising=False)
+    links = [(r.u, r.v) for r in simhash.similar(docs).collect()]
+    assert max(rows) <= sum(86 - 69 + 1 for _ in texts)
+    monkeypatch.undo()
+    brute = [(a, b) for a in node for b in range(a) if similarity(texts[a], texts[b]) >= 0.8]
+
+    def parts(pairs):
+        root = {n: n for n in node.values()}
+        for a, b in pairs:
+            if root[a] != root[b]:
+                old = root[a]
+                root = {n: root[b] if r == old else r for n, r in root.items()}
+        return sorted(sorted(n for n in root if root[n] == r) for r in set(root.values()))
+
+    assert brute and parts(links) == parts((node[a], node[b]) for a, b in brute)

@@ -32,7 +32,10 @@ Work and memory at scale:
 * a forest of links that the shingles then refute may leave out others that they would
   not, and some similar texts meet at no anchor; so texts that share one of the least
   fifth of their shingles' hashes, as every two with a similarity of ``SIMILAR`` do, and that are in
-  different groups yet, are compared as well: all of them, the nearest first, in rounds;
+  different groups yet, are looked at as well.  Those that their sizes and fingerprints allow a link meet
+  once more at the rarest fifth of their shingles, counted among themselves; what may be linked then falls into blocks, and a
+  block's texts are compared by their shingles in cells of at most ``HELD`` of these.  Every one of
+  these steps returns forests, at most one row per member of a cell, or ``SMALL`` - 1 for two members of a small one, never all pairs;
 * a sieve of bounded size keeps texts without a link from being shuffled.
 
 Defined results: null text counts as empty; texts without words have
@@ -62,8 +65,10 @@ SHINGLE = 3
 #: Of near_dedup: words a shingle, the least similarity, fingerprints of single words, 64-bit words of a shingle fingerprint, and its bits that may differ, closest first.
 SHINGLE_STAGE, SIMILAR, SEEDS, WORDS, LEVELS = 5, 0.8, 2, 4, (16, 32, 52)
 #: Texts with a similarity of SIMILAR differ in about 39 of 256 bits, give or take 6 (with FEW shingles in up to 48), so next to no pair differs in more than BITS (with few, else).
-#: Of large groups, the nearest neighbours are looked at in rounds, from one bound to the next.
-FEW, BITS, NEAREST = 20, (80, 68), (0, 64, 1024, 1 << 62)
+FEW, BITS = 20, (80, 68)
+_CHECKS = [f"check{i}" for i in range(WORDS)]
+#: Shingles of homes, and of members, in a cell of texts that are compared by these; of a home, so many neighbours first, the nearest, then twice as many.
+HELD, FIRST = 1 << 19, 16
 _STEP = 1 << 13
 
 #: Syndrome of every 16-bit low part and 15-bit high part of a 31-bit value:
@@ -219,7 +224,7 @@ def _by_cell(compared):
         for batch in found:
             if not batch.num_rows:
                 continue
-            rows = tuple(c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
+            rows = tuple(c.to_numpy(zero_copy_only=False).astype(object if pa.types.is_nested(c.type) else np.int64) for c in batch.columns)
             if not kept or (kept[-1][0][-1], kept[-1][1][-1]) != (rows[0][-1], rows[1][-1]):
                 cut = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
                 cut = cut[-1] + 1 if len(cut) else 0
@@ -242,8 +247,7 @@ def _cell_batches(levels: tuple[int, ...]):
         anchor, cell, node, home, *checks = (np.concatenate(c) for c in zip(*rows, strict=True))
         home = home > 0
         checks = np.stack(checks or [node], axis=1).view(np.uint64)
-        starts = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (cell[1:] != cell[:-1])])
-        sizes = np.diff(np.r_[starts, len(anchor)])
+        starts, sizes = _cells(anchor, cell)
         group, small = np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes <= SMALL, sizes)
         found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
         for step in range(1, SMALL):  # small cells, all at once
@@ -265,19 +269,17 @@ def _cell_batches(levels: tuple[int, ...]):
     return _by_cell(compared)
 
 
-def _meeting_batches(least: int, most: int):
-    """Rows (anchor, cell, node, home, label, n, left, checks) sorted by anchor and cell: every pair of nodes of different labels that may be similar, in
-    cells of up to SMALL rows at once; of larger cells, those among a home's nearest from the least-th to before the most-th. A row (u, u): there are more.
+def _meeting_batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, cell, node, home, label, n, left, checks) sorted by anchor and cell: of each cell, pairs that span the groups of nodes which may be
+    similar and have different labels; of cells of up to SMALL rows, all such pairs.
     n is a node's number of shingles, left of which are not before the anchor in order."""
 
     def compared(rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         anchor, cell, node, home, label, n, left, *checks = (np.concatenate(c) for c in zip(*rows, strict=True))
-        home = home > 0
         checks = np.stack(checks, axis=1).view(np.uint64)
-        starts = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (cell[1:] != cell[:-1])])
-        sizes = np.diff(np.r_[starts, len(anchor)])
+        starts, sizes = _cells(anchor, cell)
         group, small = np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes <= SMALL, sizes)
-        for step in range(1, min(SMALL, len(group))) if not least else ():
+        for step in range(1, min(SMALL, len(group))):
             i = np.flatnonzero(small[:-step] & (group[:-step] == group[step:]) & (label[:-step] != label[step:]))
             i = i[_may_link(n[i], left[i], n[i + step], left[i + step], _apart(checks[i], checks[i + step]))]
             if len(i):
@@ -286,20 +288,64 @@ def _meeting_batches(least: int, most: int):
         for k in np.flatnonzero((sizes > SMALL) & several).tolist():
             own = slice(starts[k], starts[k] + sizes[k])
             nodes, labels, marks, sizes_, lefts = node[own], label[own], checks[own], n[own], left[own]
+            tree, edges = np.arange(len(nodes)), []
             for h in np.flatnonzero(home[own]).tolist():
-                bits = _apart(marks, marks[h])
-                near = np.flatnonzero(_may_link(sizes_, lefts, sizes_[h], lefts[h], bits))
-                if not (labels[near] != labels[h]).any():
-                    continue
-                near = near[np.argsort(bits[near], kind="stable")]
-                other = near[least:most]
-                other = other[labels[other] != labels[h]]
-                if len(other):
-                    yield _pairs(np.full(len(other), nodes[h]), nodes[other])
-                if (labels[near[most:]] != labels[h]).any():
-                    yield _pairs(nodes[h : h + 1], nodes[h : h + 1])
+                near = np.flatnonzero((tree != tree[h]) & (labels != labels[h]))
+                near = near[_may_link(sizes_[near], lefts[near], sizes_[h], lefts[h], _apart(marks[near], marks[h]))]
+                edges += _joined(tree, h, near)
+            if edges:
+                yield _pairs(*nodes[np.array(edges).T])
 
-    return _by_cell(compared)
+    return _by_cell(compared)(found)
+
+
+def _sharing_batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, cell, node, home, label, checks, shingles) sorted by anchor and cell: of each cell, links that span the groups of nodes which share at
+    least SIMILAR of their shingles, but for what the labels have in one group already."""
+
+    def compared(rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        anchor, cell, node, home, label, *checks, shingles = (np.concatenate(c) for c in zip(*rows, strict=True))
+        checks = np.stack(checks, axis=1).view(np.uint64)
+        n = np.fromiter(map(len, shingles), np.int64, len(shingles))
+        for start, size in zip(*_cells(anchor, cell), strict=True):
+            own = slice(start, start + size)
+            labels, marks, sizes, sets, edges = label[own].copy(), checks[own], n[own], shingles[own], []
+            for h in np.flatnonzero(home[own]).tolist():
+                near = np.flatnonzero(labels != labels[h])
+                bits = _apart(marks[near], marks[h])
+                may = _may_link(sizes[near], sizes[near], sizes[h], sizes[h], bits)
+                near = near[may][np.argsort(bits[may], kind="stable")]
+                step = FIRST
+                while len(near):
+                    part, near, step = near[:step], near[step:], 2 * step
+                    shared = _shared(sets[h], sets[part])
+                    edges += _joined(labels, h, part[shared >= SIMILAR * (sizes[h] + sizes[part] - shared)])
+                    near = near[labels[near] != labels[h]]
+            if edges:
+                yield _pairs(*node[own][np.array(edges).T])
+
+    return _by_cell(compared)(found)
+
+
+def _cells(anchor: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the cells of sorted rows start, and their sizes."""
+    starts = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (cell[1:] != cell[:-1])])
+    return starts, np.diff(np.r_[starts, len(anchor)])
+
+
+def _joined(group: np.ndarray, h: int, near: np.ndarray) -> list[tuple[int, int]]:
+    """The edges from h by which the groups of near become its own: one to each of them."""
+    own, first = np.unique(group[near], return_index=True)
+    edges = [(h, m) for m in near[first].tolist() if group[m] != group[h]]
+    if edges:
+        group[np.isin(group, own)] = group[h]
+    return edges
+
+
+def _shared(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """How many of the elements of one each of others has; all are sorted, distinct and not empty."""
+    flat, starts = np.concatenate(others), np.cumsum([0, *map(len, others[:-1])])
+    return np.add.reduceat(one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat, starts, dtype=np.int64)
 
 
 def _may_link(n: np.ndarray, left: np.ndarray, m: np.ndarray, right: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -370,50 +416,89 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell
 
 
 def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    digest = xxhash.xxh64_intdigest
     for batch in batches:
-        sets = [np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in set(_shingles((t.as_py() or "").encode().lower().split(), SHINGLE_STAGE))], np.uint64)).view(np.int64) for t in batch.column(1)]
+        parts = [_shingles((t.as_py() or "").encode().lower().split(), SHINGLE_STAGE) for t in batch.column(1)]
+        # As signed numbers, in order; texts without words share a 0.
+        sets = [np.unique(np.array([digest(s, 42) for s in set(p)] or [0], np.uint64).view(np.int64)) for p in parts]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
 
-def _linked(likely: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Those of the pairs (u, v) whose texts, by node in keyed, share at least SIMILAR of their shingles."""
-    ends = staged(likely.select(F.col("u").alias("node")).unionAll(likely.select(F.col("v").alias("node"))).distinct())
+def _sets(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(node, shingles): the distinct shingles of every text, by node in keyed, that is in one of the pairs (u, v)."""
+    ends = staged(pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct())
     some = sieve(ends.select(F.xxhash64("node")))
     texts = held(keyed, F.xxhash64("node"), some).join(ends, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-    sets = staged(texts.mapInArrow(returning(_shingle_batches), "node long, shingles array<long>"))
+    return staged(texts.mapInArrow(returning(_shingle_batches), "node long, shingles array<long>"))
+
+
+def _linked(likely: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) whose texts, by node in keyed, share at least SIMILAR of their shingles."""
+    sets = _sets(likely, keyed)
     both = likely.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     return staged(both.where(shared >= SIMILAR * (F.size("a") + F.size("b") - shared)).select("u", "v"))
 
 
+def _rarest(texts: DataFrame) -> DataFrame:
+    """From (node, label, checks, shingles): (anchor, node, label, n, left, checks), a row for each shingle of a text's prefix that another label has too. In
+    order, shingles that only one label has come first, as no pair meets there, then those that few texts have."""
+    each = texts.select("node", "label", F.explode("shingles").alias("anchor"))
+    times = each.groupBy("anchor").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("times")).where("low <> high").select("anchor", "times")
+    order = each.join(times, "anchor").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "anchor"))).alias("order"))
+    n, others = F.size("shingles"), F.size("order")
+    # As in _signature a prefix of so many, of which those that no other label has are the first.
+    prefix = F.least(others, n - F.ceil(SIMILAR * n - F.lit(1e-6)) + 1 - (n - others)).cast("int")
+    first = texts.join(order, "node").where(prefix > 0)
+    return first.select("node", "label", others.alias("others"), n.alias("n"), *_CHECKS, F.posexplode(F.slice("order", F.lit(1), prefix)).alias("at", "own")).select(
+        F.col("own.anchor").alias("anchor"), "node", "label", "n", (F.col("others") - F.col("at")).alias("left"), *_CHECKS
+    )
+
+
+def _meetings(rows: DataFrame, sizes: DataFrame, cell: int) -> DataFrame:
+    """(u, v), u > v: pairs that span the groups of nodes which meet at an anchor and may be similar, from (anchor, node, label, n, left, checks); sizes as for _in_cells."""
+    met = _in_cells(rows.withColumn("home", F.lit(True)), sizes, ["label", "n", "left", *_CHECKS], cell)
+    return staged(met.mapInArrow(returning(_meeting_batches), "u long, v long").distinct())
+
+
+def _blocks(likely: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v), u > v: links that span the groups of texts, (node, label, checks, shingles), which share at least SIMILAR of their shingles; only texts that the pairs (u, v) connect are compared."""
+    ends = staged(likely.select(F.col("u").alias("node")).unionAll(likely.select(F.col("v").alias("node"))).distinct())
+    rows = texts.join(ends, "node", "left_semi").join(components(likely), "node", "left").withColumn("anchor", F.coalesce("root", "node")).withColumn("home", F.lit(True))
+    rows = staged(rows.select("anchor", "node", "home", "label", *_CHECKS, "shingles"))
+    # A cell's size is its number of shingles, but no grid has more rows than there are texts.
+    sizes = rows.groupBy("anchor").agg(F.least(F.sum(F.size("shingles")), F.count("*") * HELD).alias("n")).where(F.col("n") > HELD)
+    met = _in_cells(rows, staged(sizes), ["label", *_CHECKS, "shingles"], HELD)
+    return staged(met.mapInArrow(returning(_sharing_batches), "u long, v long"))
+
+
 def similar(docs: DataFrame, text_col: str = "text", cell: int = CELL) -> DataFrame:
     """(u, v): links that span the groups of texts, by their xxhash64, which share at least SIMILAR of their shingles."""
     keyed = docs.select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
-    bands, checks = [f"band{i}" for i in range(SEEDS)], [f"check{i}" for i in range(WORDS)]
+    bands, checks = [f"band{i}" for i in range(SEEDS)], _CHECKS
     each = keyed.mapInArrow(returning(_signature_batches), "node long" + "".join(f", {c} long" for c in bands + checks) + ", n long, prefix array<long>")
     each = staged(each)
     nodes = each.groupBy("node").agg(*[F.min(c).alias(c) for c in bands + checks])
     found = _linked(staged(links(nodes, bands, checks, LEVELS, cell).distinct()), keyed)
 
     # What the forests left out, as a link of theirs did not hold, and what met at no anchor: texts that share a shingle of their prefixes.
-    more = ["n", "left", *checks]
     keys = each.select("node", "n", *checks, F.posexplode("prefix").alias("at", "anchor")).select("anchor", "node", "n", (F.col("n") - F.col("at")).alias("left"), *checks)
     counts = keys.groupBy("anchor").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
     counts = staged(counts.where("low <> high").select("anchor", "n"))
     shared = held(keys, F.xxhash64("anchor"), sieve(counts.select(F.xxhash64("anchor"))))
-    shared = staged(shared.join(counts.select("anchor"), "anchor", "left_semi").distinct())
-    sizes = staged(counts.where(F.col("n") > cell))
-    for least, most in zip(NEAREST, NEAREST[1:], strict=False):
-        roots = components(found).select("node", F.col("root").alias("label"))
-        rows = shared.join(roots, "node", "left").select("anchor", "node", F.lit(True).alias("home"), F.coalesce("label", "node").alias("label"), *more)
-        # Groups of one label have nothing more to find.
-        apart = rows.groupBy("anchor").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("anchor")
-        met = _in_cells(rows.join(apart, "anchor", "left_semi"), sizes, ["label", *more], cell)
-        likely = staged(met.mapInArrow(returning(_meeting_batches(least, most)), "u long, v long").distinct())
-        found = staged(found.unionAll(_linked(likely.where("u <> v"), keyed)))
-        if likely.where("u = v").isEmpty():
-            break
-    return found
+    roots = staged(components(found).select("node", F.col("root").alias("label")))
+    rows = shared.join(counts.select("anchor"), "anchor", "left_semi").distinct().join(roots, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = staged(rows)
+    # Groups of one label have nothing more to find.
+    apart = rows.groupBy("anchor").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("anchor")
+    likely = _meetings(rows.join(apart, "anchor", "left_semi"), staged(counts.where(F.col("n") > cell)), cell)
+
+    # Most of these pairs share too little, as each text has shingles that few others have: by the rarest ones far fewer meet.
+    texts = _sets(likely, keyed).join(nodes.select("node", *checks), "node").join(roots, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    texts = staged(texts)
+    rows = staged(_rarest(texts))
+    sizes = staged(rows.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > cell))
+    return staged(found.unionAll(_blocks(_meetings(rows, sizes, cell), texts)))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL) -> DataFrame:
